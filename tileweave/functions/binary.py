@@ -67,23 +67,20 @@ def _int32(value: Column) -> Column:
 def read_dims(content) -> Column:
     """Sides from the header of PNG, GIF, BMP and QOI content; null for other or truncated content."""
     c = as_col(content)
-    kind, n = sniff_content(c), F.length(c)
-    core_bmp = uint_le(c, 15, 4) == 12
-    width = (
-        F.when((kind == "png") & (n >= 24), uint_be(c, 17, 4))
-        .when((kind == "gif") & (n >= 10), uint_le(c, 7, 2))
-        .when((kind == "bmp") & (n >= 26) & core_bmp, uint_le(c, 19, 2))
-        .when((kind == "bmp") & (n >= 26), F.abs(_int32(uint_le(c, 19, 4))))
-        .when((kind == "qoi") & (n >= 14), uint_be(c, 5, 4))
+    n = F.length(c)
+
+    def dims(width: Column, height: Column) -> Column:
+        return F.struct(width.alias("width"), height.alias("height"))
+
+    magic = {name: [_has(c, offset, m) for kind, offset, m in MAGIC if kind == name] for name in ("png", "gif", "bmp", "qoi")}
+    core_bmp = magic["bmp"][0] & (n >= 26) & (uint_le(c, 15, 4) == 12)
+    return (
+        F.when(magic["png"][0] & (n >= 24), dims(uint_be(c, 17, 4), uint_be(c, 21, 4)))
+        .when((magic["gif"][0] | magic["gif"][1]) & (n >= 10), dims(uint_le(c, 7, 2), uint_le(c, 9, 2)))
+        .when(core_bmp, dims(uint_le(c, 19, 2), uint_le(c, 21, 2)))
+        .when(magic["bmp"][0] & (n >= 26), dims(F.abs(_int32(uint_le(c, 19, 4))), F.abs(_int32(uint_le(c, 23, 4)))))
+        .when(magic["qoi"][0] & (n >= 14), dims(uint_be(c, 5, 4), uint_be(c, 9, 4)))
     )
-    height = (
-        F.when((kind == "png") & (n >= 24), uint_be(c, 21, 4))
-        .when((kind == "gif") & (n >= 10), uint_le(c, 9, 2))
-        .when((kind == "bmp") & (n >= 26) & core_bmp, uint_le(c, 21, 2))
-        .when((kind == "bmp") & (n >= 26), F.abs(_int32(uint_le(c, 23, 4))))
-        .when((kind == "qoi") & (n >= 14), uint_be(c, 9, 4))
-    )
-    return F.when(width.isNotNull() & height.isNotNull(), F.struct(width.alias("width"), height.alias("height")))
 
 
 def sha256_hex(content) -> Column:
