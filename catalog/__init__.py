@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("planning", "naming", "reports")
+MODULES = ("pixels", "planning", "naming", "reports", "text", "files")
 
 
 def load_all():
