@@ -29,10 +29,15 @@ def _le(value, n):
 
 def _sheets(spark, d):
     """``ord, output, content``: one bitmap per 256 embeddings, bottom line first as the format wants."""
-    line = F.unhex(
-        F.concat(*[F.lpad(F.hex(v.level(F.lit(i)).cast("bigint")), 2, "0") for p in range(64) for i in ((p + 42) % 64, (p + 21) % 64, p)])
-    )
-    lines = v.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 256).cast("bigint").alias("ord"), "vec_id", line.alias("_line"))
+    def sample(value):
+        q = F.least(F.greatest(F.floor((value.cast("double") + 0.5) * 255), F.lit(0)), F.lit(255))
+        return F.lpad(F.hex(q), 2, "0")
+
+    def bgr(p):
+        return F.concat(*[F.col("_hex")[(p + shift) % 64] for shift in (42, 21, 0)])
+
+    line = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), bgr), ""))
+    lines = v.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 256).cast("bigint").alias("ord"), "vec_id", F.transform("embedding", sample).alias("_hex")).select("ord", "vec_id", line.alias("_line"))
     sheets = lines.groupBy("ord").agg(F.count("*").alias("n"), F.expr("listagg(_line) WITHIN GROUP (ORDER BY vec_id DESC)").alias("_data"))
     size = F.col("n") * 192
     header = F.concat(
@@ -212,7 +217,7 @@ def conversion(spark, d):
     existing = v.table(spark, d, "documents").filter("(doc_id % 300) % 10 = 0").select(
         F.concat(F.lit("/in/"), (k % 300).cast("string"), F.lit(".jpg")).alias("output")
     )
-    out = run_conversion(files, existing, "jpeg", lambda path, content, output: len(content) // 3)
+    out = run_conversion(files, existing, "jpeg", lambda path, content, output: len(content) // 3, read_by_path=False)
     return out.select(
         "ord", "input", "status", F.coalesce("error", F.lit("-")).alias("error"), "bytes_in",
         F.coalesce("bytes_out", F.lit(-1)).alias("bytes_out"),

@@ -18,20 +18,44 @@ OUTCOME = (
 _COLUMNS = [c.split()[0] for c in OUTCOME.split(", ")]
 
 
+def read_file(path: str) -> bytes:
+    """A file's bytes from any store Arrow knows, for use inside tasks."""
+    from pyarrow import fs
+
+    store, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    with store.open_input_stream(place) as stream:
+        return stream.read()
+
+
+def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Deals rows out evenly before expensive per-row work.
+
+    An explicit number keeps adaptive execution from merging the partitions again: to it, a million
+    narrow rows look small, whatever the files behind them weigh.
+    """
+    return df.repartition(tasks or 4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def map_images(files: DataFrame, fn: Callable[[str, bytes, str], int | None]) -> DataFrame:
     """Runs ``fn(path, content, output)`` per file and reports one outcome row each.
 
-    ``files`` has ``ord, path, output, content``. ``fn`` returns the bytes it wrote, or None for a
+    ``files`` has ``ord, path, output`` and maybe ``content``; without it the task reads the file
+    itself, so that only names are ever shuffled. ``fn`` returns the bytes it wrote, or None for a
     skipped file. An exception fails that row only. Do the naming, skipping and admission joins
     first: the optimizer cannot move a filter below this operator.
     """
+    inline = "content" in files.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for ord_, path, output, content in zip(batch["ord"], batch["path"], batch["output"], batch["content"]):
+            contents = batch["content"] if inline else [None] * len(batch)
+            for ord_, path, output, content in zip(batch["ord"], batch["path"], batch["output"], contents):
                 size = len(content) if content is not None else None
                 try:
+                    if not inline:
+                        content = read_file(path)
+                        size = len(content)
                     written = fn(path, content, output)
                     status = "skipped" if written is None else "written"
                     rows.append((ord_, path, output, status, None, None, size, written))
@@ -40,7 +64,8 @@ def map_images(files: DataFrame, fn: Callable[[str, bytes, str], int | None]) ->
             frame = pd.DataFrame(rows, columns=_COLUMNS)
             yield frame.astype({"bytes_in": "Int64", "bytes_out": "Int64"})
 
-    return files.select("ord", "path", "output", "content").mapInPandas(run, OUTCOME)
+    columns = ["ord", "path", "output", *(["content"] if inline else [])]
+    return files.select(*columns).mapInPandas(run, OUTCOME)
 
 
 def score_images(

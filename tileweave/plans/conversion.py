@@ -10,7 +10,7 @@ from ..functions.binary import read_dims
 from ..functions.paths import output_path
 from ..functions.validation import admit
 from ..operators.audit import decide_outcome
-from ..operators.images import map_images
+from ..operators.images import map_images, spread
 from ..operators.naming import resolve_increment_all, resolve_skip
 from ..operators.stats import batch_averages, batch_summary, exit_code
 from ..sources.formats import extension_of, sniff_format
@@ -66,12 +66,19 @@ def plan_conversion(
 
 def run_conversion(
     files: DataFrame, existing: DataFrame, target: str, encode: Callable[[str, bytes, str], int | None],
-    policy: str = "skip", output_dir: str | None = None,
+    policy: str = "skip", output_dir: str | None = None, read_by_path: bool = True, tasks: int | None = None,
 ) -> DataFrame:
-    """Outcome rows of the whole batch: settled rows from the plan, the rest through ``encode``."""
+    """Outcome rows of the whole batch: settled rows from the plan, the rest through ``encode``.
+
+    The plan works on header facts and names. Files still to be encoded are read by their tasks, so
+    file content never crosses a shuffle; pass ``read_by_path=False`` when ``content`` is small and
+    ``path`` is not a real location.
+    """
     plan = plan_conversion(files, existing, target, policy, output_dir)
-    todo = plan.filter("status IS NULL").select("ord", "output").join(files.select("ord", "path", "content"), "ord")
-    encoded = map_images(todo, encode)
+    todo = plan.filter("status IS NULL").select("ord", "path", "output")
+    if not read_by_path:
+        todo = todo.join(files.select("ord", "content"), "ord")
+    encoded = map_images(spread(todo, tasks), encode)
     settled = plan.filter("status IS NOT NULL").select(
         "ord", F.col("path").alias("input"), "output", "status", "error_kind", "error",
         F.col("length").alias("bytes_in"), F.lit(None).cast("bigint").alias("bytes_out"),
