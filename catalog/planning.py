@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tileweave.functions import binary, encoding as enc, geometry as geo, validation as val
 from tileweave.operators import audit
 from tileweave.plans.renditions import plan_renditions
+from tileweave.session import spread_if_narrow
 from tileweave.sources import formats as fm, presets as ps
 
 from . import views as v
@@ -464,7 +465,7 @@ _RENDITIONS = """renditions AS (
 
 
 def _renditions(spark, d):
-    m = v.manifest(spark, d).filter("sniffed IS NOT NULL")
+    m = spread_if_narrow(v.manifest(spark, d).filter("sniffed IS NOT NULL"), "ord")
     images = m.withColumn("format", F.col("sniffed")).withColumn("orientation", (F.col("ord") % 9).cast("int"))
     return plan_renditions(images).withColumn("quality", F.coalesce("encoder.quality", F.lit(-1)))
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tileweave.session import spread_if_narrow
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,7 +27,7 @@ def shape_width(image_id: Column) -> Column:
 
 def px(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p")
-    rows = table(spark, sf_dir, "embeddings").select(
+    rows = spread_if_narrow(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id").select(
         F.col("vec_id").cast("bigint").alias("image_id"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p")
     )
     return rows.withColumn("width", shape_width(F.col("image_id"))).select(
@@ -43,7 +45,7 @@ def px(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p")
-    rows = table(spark, sf_dir, "embeddings").select(
+    rows = spread_if_narrow(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id").select(
         F.col("vec_id").cast("bigint").alias("image_id"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p")
     )
     return rows.withColumn("width", shape_width(F.col("image_id"))).select(

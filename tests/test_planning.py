@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tileweave.functions import binary, encoding as enc, geometry as geo, text as tx, validation as val
-from tileweave.operators import admission as adm, audit, frames as fr, stats
+from tileweave.functions import paths as pth
+from tileweave.operators import admission as adm, audit, frames as fr, stats, tone
 from tileweave.sources import formats as fm, presets as ps
 from tests.conftest import png
 
@@ -170,6 +171,23 @@ def test_presets(spark):
     assert order == ["convert", "resize", "rotate", "flip", "adjust", "web"]
 
 
+def test_preset_suffixes_are_those_of_the_naming_functions(spark):
+    zero = F.lit(0)
+    tag = tone.adjust_tag(F.coalesce("brightness", zero), F.coalesce("contrast", zero), F.coalesce("saturation", zero), F.lit(1.0))
+    want = (
+        F.when(F.col("percent").isNotNull(), pth.percent_suffix("percent"))
+        .when(F.col("fit").isNotNull(), pth.fit_suffix("fit", "fit"))
+        .when(F.col("op") == "rotate", pth.rotate_suffix("degrees"))
+        .when(F.col("op") == "flip", pth.flip_suffix("axis"))
+        .when(F.col("op") == "adjust", F.concat(F.lit("_"), tag))
+        .otherwise("")
+    )
+    table = ps.presets(spark)
+    assert table.filter(want != F.col("suffix")).count() == 0
+    exploded = spark.range(1).select(F.inline(ps.preset_array())).select(*table.columns)
+    assert sorted(map(repr, exploded.collect())) == sorted(map(repr, table.collect()))
+
+
 def test_admission(value):
     assert value(adm.license_ok(F.lit("MIT"))) and not value(adm.license_ok(F.lit("mit")))
     assert not value(adm.license_ok(F.lit(None).cast("string")))

@@ -120,9 +120,12 @@ def letterbox(width, height, canvas_width, canvas_height) -> Column:
 def aspect_ratio(width, height) -> Column:
     """``16:9`` for 1920×1080; null when a side is 0."""
     w, h = _side(width), _side(height)
-    d = F.nullif(gcd(w, h), F.lit(0))
-    text = F.concat(int_div(w, d).cast("string"), F.lit(":"), int_div(h, d).cast("string"))
-    return F.when((w > 0) & (h > 0), text)
+
+    def ratio(d: Column) -> Column:
+        reduced = (F.call_function("div", side, d).cast("string") for side in (w, h))
+        return F.concat_ws(":", *reduced)
+
+    return F.when((w > 0) & (h > 0), gcd(w, h, ratio))
 
 
 def megapixels(width, height) -> Column:

@@ -6,44 +6,39 @@ from pyspark.sql import Column, functions as F
 
 from .numeric import as_col
 
-# Fixed patterns: trailing slashes and "/." do not count as a component; the extension starts at
-# the last dot, unless that dot is the first character of the name.
-LAST_COMPONENT = r"([^/]+)(?:/+\.)*/*$"
-BEFORE_LAST_COMPONENT = r"^([\s\S]*?)/*[^/]+(?:/+\.)*/*$"
-STEM_AND_EXTENSION = r"^([\s\S]+)\.([^.]*)$"
+# Fixed patterns. Trailing slashes and "/." do not count as a component; "." and ".." are no names; an
+# extension starts at the last dot, unless that dot is the first character of the name. All are
+# anchored or possessive, so matching stays linear, and every function below matches once.
+NAME = r"^(?:[\s\S]*/)?(?!\.{1,2}(?:/|$))([^/]+)(?:/+\.)*/*$"
+DOT_EXTENSION = r"(?<=[\s\S])\.([^.]*)$"
+PARENT = r"^(/(?=/*[^/]++(?:/+\.)*/*$)|[\s\S]*?)(?:/+(?:\./+)*)?[^/]++(?:/+\.)*/*$"
 
 
 def file_name(path) -> Column:
     """Last component; null for ``/``, ``.``, ``..`` and the empty path."""
-    name = F.regexp_extract(as_col(path), LAST_COMPONENT, 1)
-    return F.when(~name.isin("", ".", ".."), name)
+    return F.nullif(F.regexp_extract(as_col(path), NAME, 1), F.lit(""))
 
 
 def stem(path) -> Column:
-    name = file_name(path)
-    return F.when(name.rlike(STEM_AND_EXTENSION), F.regexp_extract(name, STEM_AND_EXTENSION, 1)).otherwise(name)
+    """File name without its extension."""
+    return F.nullif(F.regexp_replace(F.regexp_extract(as_col(path), NAME, 1), DOT_EXTENSION, ""), F.lit(""))
 
 
 def extension(path) -> Column:
     """Text after the last dot (may be empty); null when there is no extension."""
-    name = file_name(path)
-    return F.when(name.rlike(STEM_AND_EXTENSION), F.regexp_extract(name, STEM_AND_EXTENSION, 2))
+    name = F.regexp_extract(as_col(path), NAME, 1)
+    return F.when(name.rlike(DOT_EXTENSION), F.regexp_extract(name, DOT_EXTENSION, 1))
 
 
 def parent(path) -> Column:
     """Everything before the last component: ``""`` for a bare name, null when there is none."""
     p = as_col(path)
-    head = F.regexp_extract(p, BEFORE_LAST_COMPONENT, 1)
-    return (
-        F.when(~p.rlike(LAST_COMPONENT), F.lit(None).cast("string"))
-        .when((head == "") & p.startswith("/"), F.lit("/"))
-        .otherwise(head)
-    )
+    return F.when(p.rlike("[^/]"), F.regexp_extract(p, PARENT, 1))
 
 
-def join_path(directory, name) -> Column:
-    d, n = as_col(directory), as_col(name)
-    return F.when((d == "") | d.endswith("/"), F.concat(d, n)).otherwise(F.concat(d, F.lit("/"), n))
+def join_path(directory, *parts) -> Column:
+    """One slash between a directory and a name; none after an empty directory."""
+    return F.concat(F.regexp_replace(as_col(directory), r"([^/])$", "$1/"), *[as_col(p) for p in parts])
 
 
 def output_path(path, suffix, extension_, output_dir=None) -> Column:
@@ -53,7 +48,7 @@ def output_path(path, suffix, extension_, output_dir=None) -> Column:
     """
     directory = F.coalesce(*([as_col(output_dir)] if output_dir is not None else []), parent(path), F.lit("."))
     suffix = F.coalesce(as_col(suffix), F.lit("")) if suffix is not None else F.lit("")
-    return join_path(directory, F.concat(stem(path), suffix, F.lit("."), as_col(extension_)))
+    return join_path(directory, stem(path), suffix, F.lit("."), as_col(extension_))
 
 
 def percent_suffix(percent) -> Column:

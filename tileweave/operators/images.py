@@ -27,15 +27,6 @@ def read_file(path: str) -> bytes:
         return stream.read()
 
 
-def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
-    """Deals rows out evenly before expensive per-row work.
-
-    An explicit number keeps adaptive execution from merging the partitions again: to it, a million
-    narrow rows look small, whatever the files behind them weigh.
-    """
-    return df.repartition(tasks or 4 * df.sparkSession.sparkContext.defaultParallelism)
-
-
 def map_images(files: DataFrame, fn: Callable[[str, bytes, str], int | None]) -> DataFrame:
     """Runs ``fn(path, content, output)`` per file and reports one outcome row each.
 

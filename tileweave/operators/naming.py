@@ -97,8 +97,11 @@ def resolve_increment_all(plan: DataFrame, existing: DataFrame, rounds: int = 8,
     """
     names = existing.select("output")
     pending, done = plan.select("ord", "naive"), None
-    for _ in range(rounds):
-        placed = resolve_increment(pending, taken_slots(names), lanes)
+    for attempt in range(rounds):
+        taken = taken_slots(names)
+        if attempt:  # few inputs are left, so only what concerns their names is looked at
+            taken = taken.join(pending.select("naive").distinct(), "naive", "left_semi")
+        placed = resolve_increment(pending, taken, lanes)
         placed = placed.withColumn("output", slot_name("naive", "slot"))
         keepers = placed.filter("output IS NOT NULL").groupBy("output").agg(F.min("ord").alias("ord"))
         marked = placed.join(keepers.select("ord", F.lit(True).alias("_keep")), "ord", "left")

@@ -156,30 +156,34 @@ def overlay_on_canvas(px: DataFrame, canvas_width, canvas_height, dx, dy, image_
     """Every image on its own transparent canvas, shifted by (dx, dy); overhanging pixels are cut.
 
     The parameters may be columns that are constant per image. A raster covers its rectangle
-    completely, so the canvas is the shifted pixels plus an empty frame around them; the frame is
-    generated from each image's top-left pixel, and nothing has to be joined or shuffled.
+    completely, so the canvas is the shifted pixels plus an empty frame around them. Each image's
+    top-left pixel generates that frame next to itself: one pass, no join, no shuffle.
     """
     cw, ch, ox, oy = (as_col(v).cast("bigint") for v in (canvas_width, canvas_height, dx, dy))
-    visible = F.col("a") > 0
-    shifted = px.select(
-        image_id, (F.col("x") + ox).alias("x"), (F.col("y") + oy).alias("y"),
-        *[F.when(visible, F.col(c)).otherwise(0).alias(c) for c in ("r", "g", "b")], "a",
-        cw.alias("width"), ch.alias("height"),
-    ).filter((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < F.col("width")) & (F.col("y") < F.col("height")))
-    zero = F.lit(0).cast("bigint")
-    frame = (
-        px.filter((F.col("x") == 0) & (F.col("y") == 0))
+    zero, itself = F.lit(0).cast("bigint"), F.lit(-1).cast("bigint")
+    placed = px.select(
+        image_id, "r", "g", "b", "a", cw.alias("_cw"), ch.alias("_ch"), ox.alias("_dx"), oy.alias("_dy"),
+        F.col("width").cast("bigint").alias("_fw"), F.col("height").cast("bigint").alias("_fh"),
+        (F.col("x") + ox).alias("_px"), (F.col("y") + oy).alias("_py"),
+        ((F.col("x") == 0) & (F.col("y") == 0)).alias("_first"),
+    )
+    lines = F.when(F.col("_first"), F.concat(F.array(itself), F.sequence(zero, F.col("_ch") - 1))).otherwise(F.array(itself))
+    cells = F.when(F.col("_line") < 0, F.array(itself)).otherwise(F.sequence(zero, F.col("_cw") - 1))
+    spread = placed.withColumn("_line", F.explode(lines)).withColumn("_cell", F.explode(cells))
+    pixel = F.col("_line") < 0
+    x, y = F.when(pixel, F.col("_px")).otherwise(F.col("_cell")), F.when(pixel, F.col("_py")).otherwise(F.col("_line"))
+    covered = (
+        (F.col("x") >= F.col("_dx")) & (F.col("x") < F.col("_dx") + F.col("_fw"))
+        & (F.col("y") >= F.col("_dy")) & (F.col("y") < F.col("_dy") + F.col("_fh"))
+    )
+    on_canvas = (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < F.col("_cw")) & (F.col("y") < F.col("_ch"))
+    shown = pixel & (F.col("a") > 0)
+    return (
+        spread.withColumns({"x": x, "y": y})
+        .filter(on_canvas & (pixel | ~covered))
         .select(
-            image_id, F.col("width").alias("_fw"), F.col("height").alias("_fh"), cw.alias("width"), ch.alias("height"),
-            ox.alias("_dx"), oy.alias("_dy"),
-        )
-        .withColumn("y", F.explode(F.sequence(zero, F.col("height") - 1)))
-        .withColumn("x", F.explode(F.sequence(zero, F.col("width") - 1)))
-        .filter(
-            (F.col("x") < F.col("_dx")) | (F.col("x") >= F.col("_dx") + F.col("_fw"))
-            | (F.col("y") < F.col("_dy")) | (F.col("y") >= F.col("_dy") + F.col("_fh"))
+            image_id, F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"),
+            *[F.when(shown, F.col(c)).otherwise(0).alias(c) for c in "rgba"],
+            F.col("_cw").cast("int").alias("width"), F.col("_ch").cast("int").alias("height"),
         )
-        .select(image_id, "x", "y", *[F.lit(0).alias(c) for c in "rgba"], "width", "height")
     )
-    out = shifted.unionByName(frame)
-    return out.withColumns({c: F.col(c).cast("int") for c in ("x", "y", "width", "height")})

@@ -42,8 +42,8 @@ def resample_nearest(px: DataFrame, width, height, image_id: str = "image_id") -
 
 
 def kernel(name: str, distance) -> Column:
-    """Unnormalised weight at a distance in kernel units."""
-    d = F.abs(as_col(distance))
+    """Unnormalised weight at a non-negative distance in kernel units."""
+    d = as_col(distance)
     if name == "bilinear":
         return F.when(d < 1.0, 1.0 - d).otherwise(0.0)
     if name == "lanczos3":
@@ -51,8 +51,8 @@ def kernel(name: str, distance) -> Column:
         lobe = F.sin(t) * F.sin(t / 3.0) * 3.0 / (t * t)
         return F.when(d == 0.0, 1.0).when(d < 3.0, lobe).otherwise(0.0)
     b, c = CUBIC[name]
-    near = ((12 - 9 * b - 6 * c) * d * d * d + (-18 + 12 * b + 6 * c) * d * d + (6 - 2 * b)) / 6.0
-    far = ((-b - 6 * c) * d * d * d + (6 * b + 30 * c) * d * d + (-12 * b - 48 * c) * d + (8 * b + 24 * c)) / 6.0
+    near = (((12 - 9 * b - 6 * c) * d + (-18 + 12 * b + 6 * c)) * d * d + (6 - 2 * b)) / 6.0
+    far = ((((-b - 6 * c) * d + (6 * b + 30 * c)) * d + (-12 * b - 48 * c)) * d + (8 * b + 24 * c)) / 6.0
     return F.when(d < 1.0, near).when(d < 2.0, far).otherwise(0.0)
 
 
@@ -66,10 +66,11 @@ def _pass(px: DataFrame, keys: list[str], axis: str, source: str, target: str, n
     high = F.least(F.ceil((at + 0.5 + reach) / step - 0.5), F.col(target).cast("bigint") - 1)
     targets = F.sequence(F.when(same, at.cast("bigint")).otherwise(low), F.when(same, at.cast("bigint")).otherwise(high))
     distance = (at + 0.5 - (F.col("_t") + 0.5) * step) / F.greatest(step, F.lit(1.0))
+    # The distance is a column of its own: the kernel refers to it many times.
     spread = (
         px.withColumn("_t", F.explode(targets))
-        .withColumn("_w", F.when(same, 1.0).otherwise(kernel(name, distance)))
-        .filter(F.col("_w") != 0.0)
+        .withColumn("_d", F.abs(distance))
+        .withColumn("_w", F.when(same, 1.0).otherwise(kernel(name, "_d")))
     )
     kept = [k for k in keys if k != axis]
     extents = [c for c in ("width", "height", "_tw", "_th") if c in px.columns]
@@ -89,8 +90,8 @@ def resample(
 
     Weights come from the kernel widened by the shrink factor and are normalised over the taps
     inside the image. ``premultiply`` weights colours by alpha. ``rows_first`` does the vertical
-    pass first, which is cheaper when the height shrinks more. Images that already have the
-    target size pass through unchanged.
+    pass first, which is cheaper when the height shrinks more. An axis that keeps its size is not
+    filtered, so images that already have the target size come out unchanged.
 
     Two shuffles, each of one row per intermediate pixel: the first pass combines on the map side,
     and its result is partitioned so that the second pass aggregates in place, with a single huge
@@ -98,13 +99,15 @@ def resample(
     """
     if filter_ == "nearest":
         return resample_nearest(px, width, height, image_id)
-    sized = px.withColumns({"_tw": as_col(width).cast("int"), "_th": as_col(height).cast("int")})
+    work = px.select(
+        image_id, "x", "y", *SAMPLES, "width", "height",
+        as_col(width).cast("int").alias("_tw"), as_col(height).cast("int").alias("_th"),
+    )
     same = (F.col("width") == F.col("_tw")) & (F.col("height") == F.col("_th"))
-    out_columns = [image_id, "x", "y", *SAMPLES, "width", "height"]
-    unchanged = sized.filter(same).select(out_columns)
-    work = sized.filter(~same).select(out_columns + ["_tw", "_th"])
     if premultiply:
-        work = work.withColumns({c: F.col(c) * F.col("a") / F.lit(255.0) for c in ("r", "g", "b")})
+        work = work.withColumns(
+            {c: F.when(same, F.col(c)).otherwise(F.col(c) * F.col("a") / F.lit(255.0)) for c in ("r", "g", "b")}
+        )
     keys = [image_id, "y", "x"]
     passes = [("x", "width", "_tw"), ("y", "height", "_th")]
     if rows_first:
@@ -113,11 +116,10 @@ def resample(
     first = _pass(work, keys, axis1, from1, to1, filter_)
     second = _pass(first.repartition(image_id, axis1), keys, axis2, from2, to2, filter_)
     if premultiply:
-        second = second.withColumns(
-            {c: F.when(F.round("a", 6) > 0, F.col(c) * 255.0 / F.col("a")).otherwise(0.0) for c in ("r", "g", "b")}
-        )
+        unweighted = F.when(F.round("a", 6) > 0, F.lit(255.0) / F.col("a")).otherwise(0.0)
+        second = second.withColumns({c: F.col(c) * F.when(same, 1.0).otherwise(unweighted) for c in ("r", "g", "b")})
     # Sums of doubles depend on their order in the last bits; six decimals settle ties.
-    final = second.select(
+    return second.select(
         image_id, F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"),
         *[
             F.least(F.greatest(F.floor(F.round(c, 6) + 0.5), F.lit(0)), F.lit(255)).cast("int").alias(c)
@@ -125,4 +127,3 @@ def resample(
         ],
         F.col("_tw").alias("width"), F.col("_th").alias("height"),
     )
-    return final.unionByName(unchanged)

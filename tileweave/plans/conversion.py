@@ -10,9 +10,10 @@ from ..functions.binary import read_dims
 from ..functions.paths import output_path
 from ..functions.validation import admit
 from ..operators.audit import decide_outcome
-from ..operators.images import map_images, spread
+from ..operators.images import map_images
 from ..operators.naming import resolve_increment_all, resolve_skip
-from ..operators.stats import batch_averages, batch_summary, exit_code
+from ..operators.stats import batch_averages, batch_summary
+from ..session import cut_lineage, spread
 from ..sources.formats import extension_of, sniff_format
 
 
@@ -38,6 +39,8 @@ def plan_conversion(
         .when(F.col("source_format").isNull(), "unsupported_format")
         .otherwise(admit("length", "width", "height")),
     )
+    # Everything below works on these narrow facts, several times over; the files are read once.
+    named = cut_lineage(named)
     if policy == "increment":
         usable = named.filter("output IS NOT NULL").select("ord", F.col("output").alias("naive"))
         placed = resolve_increment_all(usable, existing).select("ord", F.col("output").alias("_placed"))
@@ -70,11 +73,12 @@ def run_conversion(
 ) -> DataFrame:
     """Outcome rows of the whole batch: settled rows from the plan, the rest through ``encode``.
 
-    The plan works on header facts and names. Files still to be encoded are read by their tasks, so
+    The plan works on header facts and names and is checkpointed before anything is written: what a
+    retried task recomputes must not see the batch's own outputs as existing ones. Files still to be encoded are read by their tasks, so
     file content never crosses a shuffle; pass ``read_by_path=False`` when ``content`` is small and
     ``path`` is not a real location.
     """
-    plan = plan_conversion(files, existing, target, policy, output_dir)
+    plan = cut_lineage(plan_conversion(files, existing, target, policy, output_dir))
     todo = plan.filter("status IS NULL").select("ord", "path", "output")
     if not read_by_path:
         todo = todo.join(files.select("ord", "content"), "ord")
@@ -89,7 +93,4 @@ def run_conversion(
 def report(outcomes: DataFrame, *keys: str) -> DataFrame:
     """Counts, byte totals, averages and exit code in one row per key."""
     summary = batch_averages(batch_summary(outcomes, *keys))
-    code = exit_code(outcomes, *keys)
-    return summary.join(code, list(keys)) if keys else summary.withColumn(
-        "exit_code", F.when(F.col("fail") > 0, 2).otherwise(0)
-    )
+    return summary.withColumn("exit_code", F.when(F.col("fail") > 0, 2).otherwise(0))

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.encoding import encode_settings
 from ..functions.geometry import dims_fit, dims_percent
-from ..functions.paths import fit_suffix, flip_suffix, output_path, percent_suffix, rotate_suffix
-from ..operators.tone import adjust_tag
+from ..functions.paths import join_path, parent, stem
 from ..sources.formats import extension_of
 from ..sources.presets import preset_array
 
@@ -20,41 +19,24 @@ def plan_renditions(images: DataFrame, output_dir: str | None = None) -> DataFra
     there is no join and the plan keeps the partitioning of its input.
     """
     orientation = F.col("orientation") if "orientation" in images.columns else F.lit(1)
+    directory = F.lit(output_dir) if output_dir else parent("path")
+    # Path parts once per image; per rendition only a concatenation is left.
     rows = images.select(
-        "ord", "path", "width", "height", "format", orientation.alias("_orientation"), F.inline(preset_array())
-    )
+        "ord", "path", "width", "height", "format", F.coalesce(orientation, F.lit(1)).alias("_orientation"),
+        join_path(F.coalesce(directory, F.lit(".")), stem("path")).alias("_base"),
+    ).select("*", F.inline(preset_array()))
     op = F.col("op")
     pct, fit = dims_percent("width", "height", "percent"), dims_fit("width", "height", "fit", "fit")
     swap = (op == "rotate") & (
-        F.col("degrees").isin(90, 270) | (F.col("degrees").isNull() & F.coalesce(F.col("_orientation"), F.lit(1)).between(5, 8))
+        F.col("degrees").isin(90, 270) | (F.col("degrees").isNull() & F.col("_orientation").between(5, 8))
     )
 
     def side(name: str, other: str):
         scaled = F.when(F.col("percent").isNotNull(), pct[name]).when(F.col("fit").isNotNull(), fit[name])
         return F.when(swap, F.col(other)).otherwise(F.coalesce(scaled, F.col(name))).cast("bigint").alias(f"out_{name}")
 
-    def number(name: str):
-        return F.coalesce(F.col(name), F.lit(0))
-
-    suffix = (
-        F.when(F.col("percent").isNotNull(), percent_suffix("percent"))
-        .when(F.col("fit").isNotNull(), fit_suffix("fit", "fit"))
-        .when(op == "rotate", rotate_suffix("degrees"))
-        .when(op == "flip", flip_suffix("axis"))
-        .when(
-            op == "adjust",
-            F.concat(F.lit("_"), adjust_tag(number("brightness"), number("contrast"), number("saturation"), 1.0)),
-        )
-        .otherwise("")
-    )
-    target = F.coalesce("target", "format")
-    return (
-        rows.withColumn("_suffix", suffix)
-        .withColumn("target", target)
-        .select(
-            "ord", "path", "preset_id", "preset_group", "preset_ord", side("width", "height"), side("height", "width"),
-            "target", encode_settings("target", "quality", "optimize").alias("encoder"),
-            output_path("path", F.col("_suffix"), extension_of("target"), F.lit(output_dir) if output_dir else None).alias("output"),
-            "policy",
-        )
+    return rows.withColumn("target", F.coalesce("target", "format")).select(
+        "ord", "path", "preset_id", "preset_group", "preset_ord", side("width", "height"), side("height", "width"),
+        "target", encode_settings("target", "quality", "optimize").alias("encoder"),
+        F.concat("_base", "suffix", F.lit("."), extension_of("target")).alias("output"), "policy",
     )

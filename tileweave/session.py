@@ -42,3 +42,18 @@ def cut_lineage(df):
     """Reliable checkpoint: the result is written to the shared folder and survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df, tasks: int | None = None):
+    """Deals rows out evenly before expensive per-row work.
+
+    An explicit number keeps adaptive execution from merging the partitions again: to it, a million
+    narrow rows look small, whatever the files or pixels behind them weigh.
+    """
+    return df.repartition(tasks or 4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def spread_if_narrow(df, key: str):
+    """Spreads a table that arrives in fewer partitions than there are cores; others pass as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -43,17 +43,17 @@ ALIASES = {
 }
 
 
-def literal_table(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
-    """A small constant table that the optimizer sees as a LocalRelation of known size."""
+def sql_literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).lower()
+    return f"'{value}'" if isinstance(value, str) else str(value)
 
-    def text(v) -> str:
-        if v is None:
-            return "NULL"
-        if isinstance(v, bool):
-            return "true" if v else "false"
-        return f"'{v}'" if isinstance(v, str) else str(v)
 
-    body = ", ".join("(" + ", ".join(text(v) for v in row) + ")" for row in rows)
+def literal_table(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
+    """A small constant table that the optimizer sees as a LocalRelation of known size."""
+    body = ", ".join("(" + ", ".join(map(sql_literal, row)) + ")" for row in rows)
     return spark.sql(f"SELECT * FROM VALUES {body} AS t({columns})")
 
 
@@ -78,8 +78,12 @@ def parse_format(df: DataFrame, text, name: str = "format") -> DataFrame:
 
 def extension_of(format_) -> Column:
     """Canonical extension of a format column, as an expression over the 13 literals."""
-    mapping = F.create_map(*[F.lit(v) for name, ext, _ in FORMATS for v in (name, ext)])
-    return F.try_element_at(mapping, as_col(format_))
+    f = as_col(format_)
+    (first, ext, _), *rest = FORMATS
+    out = F.when(f == first, ext)
+    for name, ext, _ in rest:
+        out = out.when(f == name, ext)
+    return out
 
 
 def sniff_format(df: DataFrame, content="content", path="path", name: str = "format") -> DataFrame:
