@@ -167,6 +167,16 @@ def test_conversion_under_increment(spark):
     existing = spark.createDataFrame([("/p/x.jpg",)], "output string")
     got = {r.ord: r.output for r in plan_conversion(files, existing, "jpeg", "increment").collect()}
     assert got == {0: "/p/x_1.jpg", 1: "/p/x_2.jpg", 2: "/p/x_3.jpg"}
+    bomb = files.withColumn("length", F.when(F.col("ord") == 1, F.lit(1 << 31)).otherwise(F.col("length")).cast("bigint"))
+    got = {r.ord: (r.output, r.status, r.error) for r in plan_conversion(bomb, existing, "jpeg", "increment").collect()}
+    assert got == {0: ("/p/x_1.jpg", None, None), 1: ("/p/x.jpg", "failed", "too_many_bytes"), 2: ("/p/x_2.jpg", None, None)}
+    got = {r.ord: (r.status, r.error_kind) for r in plan_conversion(bomb, existing, "jpeg", "replace").collect()}
+    assert got == {0: ("skipped", "superseded"), 1: ("failed", "invalid_input"), 2: (None, None)}
+    got = {r.ord: r.status for r in plan_conversion(bomb, existing, "jpeg", "skip").collect()}
+    assert set(got.values()) == {"skipped"}
+    free = existing.filter("output IS NULL")
+    got = {r.ord: r.status for r in plan_conversion(bomb, free, "jpeg", "skip").collect()}
+    assert got == {0: None, 1: "failed", 2: "skipped"}
 
 
 def test_missing_artifacts_are_not_valid(spark, folder):

@@ -11,7 +11,7 @@ from ..functions.paths import output_path
 from ..functions.validation import admit
 from ..operators.audit import decide_outcome
 from ..operators.images import map_images
-from ..operators.naming import resolve_increment_all, resolve_skip
+from ..operators.naming import resolve_increment_all, resolve_replace, resolve_skip
 from ..operators.stats import batch_averages, batch_summary
 from ..session import cut_lineage, spread
 from ..sources.formats import extension_of, sniff_format
@@ -25,7 +25,8 @@ def plan_conversion(
 
     ``files`` has ``ord, path, length, content``; ``existing`` has ``output``. The result carries
     ``status`` = skipped or failed for rows that are settled, and null for rows still to be encoded.
-    Content is not in the result: join it back by scanning only the paths that are left.
+    Under ``replace`` only the last input of an output is encoded; the others are skipped with
+    ``error_kind`` superseded. Content is not in the result.
     """
     directory = F.lit(output_dir) if output_dir else None
     headed = sniff_format(files, name="source_format").withColumn("_dims", read_dims("content")).drop("content")
@@ -41,28 +42,36 @@ def plan_conversion(
     )
     # Everything below works on these narrow facts, several times over; the files are read once.
     named = cut_lineage(named)
+    # An input that cannot be decoded writes nothing, so it takes no name and stands in nobody's way.
+    sound = named.filter("decode_error IS NULL").select("ord", "output")
+    named = named.withColumn("_exists", F.lit(False))
     if policy == "increment":
-        usable = named.filter("output IS NOT NULL").select("ord", F.col("output").alias("naive"))
-        placed = resolve_increment_all(usable, existing).select("ord", F.col("output").alias("_placed"))
-        named = named.join(placed, "ord", "left").withColumn("output", F.col("_placed")).drop("_placed")
-        named = named.withColumn("_exists", F.lit(False))
+        placed = resolve_increment_all(sound.withColumnRenamed("output", "naive"), existing)
+        named = named.join(placed.select("ord", F.col("output").alias("_placed")), "ord", "left")
+        named = named.withColumn("output", F.when(F.col("decode_error").isNull(), F.col("_placed")).otherwise(F.col("output")))
+        named = named.withColumn("decode_error", F.when(F.col("output").isNull(), F.coalesce("decode_error", F.lit("too_many_siblings"))).otherwise(F.col("decode_error")))
     elif policy == "skip":
-        free = resolve_skip(named.filter("decode_error IS NULL").select("ord", "output"), existing)
-        listed = existing.select("output").withColumn("_listed", F.lit(True)).distinct()
-        writers = free.filter(F.col("status") == "written").select("ord", F.lit(True).alias("_writer"))
-        named = named.join(writers, "ord", "left").join(listed, "output", "left")
         # A broken input is skipped only because of a file that is really there, not a sibling in the batch.
-        settled = F.col("_listed").isNotNull() | (F.col("decode_error").isNull() & F.col("_writer").isNull())
-        named = named.withColumn("_exists", settled).drop("_writer", "_listed")
+        late = resolve_skip(sound, existing).filter(F.col("status") == "skipped").select("ord")
+        broken = named.filter("decode_error IS NOT NULL").join(existing.select("output"), "output", "left_semi")
+        skipped = late.unionByName(broken.select("ord")).withColumn("_skip", F.lit(True))
+        named = named.join(skipped, "ord", "left").withColumn("_exists", F.col("_skip").isNotNull())
     else:
-        named = named.withColumn("_exists", F.lit(False))
+        lost = resolve_replace(sound).filter("superseded").select("ord", F.lit(True).alias("_lost"))
+        named = named.join(lost, "ord", "left")
     verdict = decide_outcome("convert", "decode_error", F.lit(None).cast("string"), "_exists", policy)
+    superseded = F.col("_lost").isNotNull() if policy == "replace" else F.lit(False)
+    kind = (
+        F.when(superseded, "superseded")
+        .when(F.col("_v.error") == "unsupported_format", "unsupported_format")
+        .when(F.col("_v.error").isNotNull(), "invalid_input")
+    )
     return (
         named.withColumn("_v", verdict)
         .select(
             "ord", "path", "length", "source_format", "width", "height", F.lit(target).alias("target"), "output",
-            F.when(F.col("_v.status") != "written", F.col("_v.status")).alias("status"),
-            F.col("_v.error_kind").alias("error_kind"), F.col("_v.error").alias("error"),
+            F.when(superseded, "skipped").when(F.col("_v.status") != "written", F.col("_v.status")).alias("status"),
+            kind.alias("error_kind"), F.col("_v.error").alias("error"),
         )
     )
 
