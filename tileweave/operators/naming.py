@@ -50,7 +50,7 @@ def taken_slots(outputs: DataFrame, output: str = "output") -> DataFrame:
     return outputs.select(F.inline(pairs))
 
 
-def resolve_increment(plan: DataFrame, taken: DataFrame, lanes: int = 32, last_slot: int = LAST_SLOT) -> DataFrame:
+def resolve_increment(plan: DataFrame, taken: DataFrame, lanes: int = 256, last_slot: int = LAST_SLOT) -> DataFrame:
     """``slot``: the k-th input of a name takes its k-th free slot; null when all are used up.
 
     ``plan`` has ``ord, naive``, ``taken`` has ``naive, slot``. A name has at most ``last_slot + 1``
@@ -88,7 +88,7 @@ def slot_name(naive, slot):
     return F.when(F.col(slot) == 0, F.col(naive)).when(F.col(slot) > 0, numbered)
 
 
-def resolve_increment_all(plan: DataFrame, existing: DataFrame, rounds: int = 8, lanes: int = 32) -> DataFrame:
+def resolve_increment_all(plan: DataFrame, existing: DataFrame, rounds: int = 8, lanes: int = 256) -> DataFrame:
     """``output`` for every plan row, also when one name's numbered sibling is another input's name.
 
     Where an assigned name comes out twice, the lowest ``ord`` keeps it and the others try again with
