@@ -68,7 +68,7 @@ def format_duration(spark, d):
 @query(
     "size_delta",
     with_views(
-        """SELECT ord, CASE WHEN a = 0 OR b = 0 THEN '' WHEN abs(p) < 0.5e0 THEN '≈ same' WHEN p < 0 THEN printf('−%.0f%%', abs(p)) ELSE printf('+%.0f%%', p) END AS text
+        """SELECT ord, CASE WHEN a = 0 OR b = 0 THEN '' WHEN abs(p) < 0.5e0 THEN '≈ mesmo tamanho' WHEN p < 0 THEN printf('−%.0f%%', abs(p)) ELSE printf('+%.0f%%', p) END AS text
         FROM (SELECT *, (b::DOUBLE / nullif(a, 0) - 1) * 100 AS p FROM (
           SELECT ord, CASE WHEN ord % 50 = 0 THEN 0 ELSE bytes_in END AS a, bytes_in + (ord % 41 - 20) * 1000 AS b FROM outcomes))""",
         OUTCOMES,
@@ -83,7 +83,7 @@ def size_delta(spark, d):
 @query(
     "files_label",
     with_views(
-        """SELECT u, CASE count(*) WHEN 1 THEN arg_min(name, ord) ELSE concat(arg_min(name, ord), ' +', count(*) - 1, ' others') END AS label
+        """SELECT u, CASE count(*) WHEN 1 THEN arg_min(name, ord) ELSE concat(arg_min(name, ord), ' +', count(*) - 1, ' outros') END AS label
         FROM (SELECT ord, regexp_extract(path, '[^/]+$') AS name, CASE WHEN ord % 100 = 0 THEN concat('single', ord) ELSE regexp_extract(path, '/(u\\d+)/', 1) END AS u FROM manifest)
         GROUP BY u""",
         MANIFEST,

@@ -212,3 +212,23 @@ def test_normalize_chw(px):
     want = [(1 - 0.485) / 0.229, (0 - 0.456) / 0.224, (128 / 255 - 0.406) / 0.225]
     assert [r.c for r in rows] == [0, 1, 2]
     assert [r.v for r in rows] == pytest.approx(want)
+
+
+def test_masking_a_collection(px):
+    from tileweave.plans.masking import mask_images
+
+    images = {1: random_image(7, 5), 2: random_image(4, 6, seed=2)}
+
+    def predict(session, tensor):
+        return tensor[0, 0] * session  # red channel, scaled past both ends of [0, 1]
+
+    out = grid(mask_images(px(images), lambda: np.float32(0.4), predict, side=6))
+    for i, image in images.items():
+        a = np.array(image)
+        small = pull_resample(a, 6, 6, KERNELS["lanczos3"])[:, :, :3].astype("float32")
+        red = (small[:, :, 0] / np.float32(255) - np.float32(0.485)) / np.float32(0.229)
+        mask = (np.clip(red * np.float32(0.4), 0, 1) * 255).astype("uint8").astype(int)
+        alpha = pull_resample(mask[:, :, None], a.shape[1], a.shape[0], KERNELS["lanczos3"])[:, :, 0]
+        got = np.array(out[i])
+        assert np.array_equal(got[:, :, :3], a[:, :, :3])
+        assert np.array_equal(got[:, :, 3], alpha)

@@ -125,10 +125,10 @@ def test_text(value):
     assert value(tx.format_duration(F.lit(119.7))) == "1 min 60 s"
     assert value(tx.format_duration(F.lit(7500.0))) == "2h 5min"
     assert value(tx.size_delta(F.lit(0), F.lit(5))) == ""
-    assert value(tx.size_delta(F.lit(1000), F.lit(1004))) == "≈ same"
+    assert value(tx.size_delta(F.lit(1000), F.lit(1004))) == "≈ mesmo tamanho"
     assert value(tx.size_delta(F.lit(100), F.lit(17))) == "−83%"
     assert value(tx.size_delta(F.lit(100), F.lit(104))) == "+4%"
-    assert value(tx.files_label(F.lit("a.png"), F.lit(3))) == "a.png +2 others"
+    assert value(tx.files_label(F.lit("a.png"), F.lit(3))) == "a.png +2 outros"
     assert value(tx.files_label(F.lit("a.png"), F.lit(0))) == "—"
 
 

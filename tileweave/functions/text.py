@@ -10,8 +10,10 @@ from pyspark.sql import Column, functions as F
 
 from .numeric import as_col, round_half_up
 
-# Binary size units.
+# Binary size units; wording of unchanged sizes and of longer lists.
 KB, MB, GB = 1024, 1024**2, 1024**3
+SAME_SIZE = "≈ mesmo tamanho"
+OTHERS = "outros"
 
 
 def fixed(value, places: int) -> Column:
@@ -60,25 +62,25 @@ def format_duration(seconds) -> Column:
     )
 
 
-def size_delta(bytes_in, bytes_out) -> Column:
-    """Relative change in size: empty without both sides, ``≈ same`` under half a percent."""
+def size_delta(bytes_in, bytes_out, same: str = SAME_SIZE) -> Column:
+    """Relative change in size: empty without both sides, ``same`` under half a percent."""
     a, b = as_col(bytes_in).cast("double"), as_col(bytes_out).cast("double")
     pct = (b / F.nullif(a, F.lit(0.0)) - 1.0) * 100.0
     return (
         F.when((a == 0) | (b == 0), F.lit(""))
-        .when(F.abs(pct) < 0.5, F.lit("≈ same"))
+        .when(F.abs(pct) < 0.5, F.lit(same))
         .when(pct < 0, F.concat(F.lit("−"), fixed(F.abs(pct), 0), F.lit("%")))
         .otherwise(F.concat(F.lit("+"), fixed(pct, 0), F.lit("%")))
     )
 
 
-def files_label(first_name, count) -> Column:
-    """``—`` for an empty list, the name for one file, ``name +k others`` for more."""
+def files_label(first_name, count, others: str = OTHERS) -> Column:
+    """``—`` for an empty list, the name for one file, ``name +k outros`` for more."""
     n = as_col(count)
     return (
         F.when(F.coalesce(n, F.lit(0)) == 0, F.lit("—"))
         .when(n == 1, as_col(first_name))
-        .otherwise(F.concat(as_col(first_name), F.lit(" +"), (n - 1).cast("string"), F.lit(" others")))
+        .otherwise(F.concat(as_col(first_name), F.lit(" +"), (n - 1).cast("string"), F.lit(f" {others}")))
     )
 
 

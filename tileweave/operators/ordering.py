@@ -22,10 +22,10 @@ def with_range_blocks(df: DataFrame, order: list[str], blocks: int | None = None
     """Adds a block id for any order, composite ones included: the range partition a row falls in.
 
     The table is checkpointed with its block ids, so later steps (and recomputed tasks) all see the
-    same boundaries. Ties are split only if ``order`` is unique, so end it with a row id.
+    same boundaries. Ties are split only if ``order`` is unique, so end it with a row id. Without a
+    number of blocks, adaptive execution merges small neighbouring ranges.
     """
-    n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order)
+    ranged = df.repartitionByRange(blocks, *order) if blocks else df.repartitionByRange(*order)
     return cut_lineage(ranged.withColumn(name, F.spark_partition_id().cast("bigint")))
 
 

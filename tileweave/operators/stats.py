@@ -81,7 +81,7 @@ def selection_summary(files: DataFrame, *keys: str) -> DataFrame:
 
 
 def selection_label(files: DataFrame, name, *keys: str) -> DataFrame:
-    """``name +k others`` for each list, the name being that of its first file."""
+    """``name +k outros`` for each list, the name being that of its first file."""
     named = files.select(*keys, "ord", as_col(name).alias("_name"))
     firsts = named.groupBy(*keys).agg(F.min_by("_name", "ord").alias("_name"), F.count("*").alias("_n"))
     return firsts.select(*keys, files_label("_name", "_n").alias("label"))
