@@ -89,6 +89,7 @@ def test_raster_round_trip(px):
     rasters = pz.from_pixels(px({1: image, 2: [[RED]]}))
     assert rasters.filter("image_id = 1").first().data == bytes(v for line in image for r, g, b, a in line for v in (b, g, r, a))
     assert grid(pz.to_pixels(rasters)) == {1: image, 2: [[RED]]}
+    assert grid(pz.to_pixels(rasters, spread_lines=True)) == {1: image, 2: [[RED]]}
     opaque = grid(pz.to_pixels(pz.from_pixels(px({1: image}), alpha=False)))[1]
     assert opaque == [[(*p[:3], 255) for p in line] for line in image]
 

@@ -15,10 +15,12 @@ from ..functions.numeric import as_col
 from ..functions.validation import MAX_PIXELS
 
 
-def to_pixels(images: DataFrame, image_id: str = "image_id") -> DataFrame:
+def to_pixels(images: DataFrame, image_id: str = "image_id", spread_lines: bool = False) -> DataFrame:
     """Raster rows to pixel rows; alpha is 255 without an alpha channel, gray fills r, g and b.
 
     Exploded in two steps, scanlines first, so no array is longer than a side of the image.
+    ``spread_lines`` shuffles the scanlines (as many bytes as the rasters have), so that a few very
+    large images keep all tasks busy; many images do not need it.
     """
     channels = F.col("nChannels")
     stride = F.col("width") * channels
@@ -30,6 +32,8 @@ def to_pixels(images: DataFrame, image_id: str = "image_id") -> DataFrame:
             F.substring(F.col("data"), F.col("y") * stride + 1, stride).alias("_line"),
         )
     )
+    if spread_lines:
+        lines = lines.repartition(image_id, "y")
     # One packed integer per pixel instead of one conversion per sample.
     packed = (
         lines.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
