@@ -9,27 +9,14 @@ from .frames import fresh
 SPAN = 3
 
 
-def _lines(text):
-    return F.split(F.coalesce(text, F.lit("")), "\n")
-
-
-def _window_hashes(lines, span: int):
-    """Two hashes of each window of ``span`` lines; null where all its lines are blank; empty with fewer lines."""
-    last = F.size(lines) - span
-
-    def hashes(i):
-        parts = [F.get(lines, i + k) for k in range(span)]
-        blank = F.trim(F.concat(*parts)) == ""
-        return F.when(~blank, F.struct(F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(span), *reversed(parts)).alias("h2")))
-
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), hashes)).otherwise(F.array())
-
-
 def later_windows(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """``doc_id, text_hash, later``: line numbers at which windows start that occur earlier in the corpus."""
-    found = docs.where("doc_id is not null and text is not null").select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(_window_hashes(_lines(F.col("text")), span)).alias("pos", "w")
-    ).where("w is not null").select("doc_id", "text_hash", "pos", "w.h1", "w.h2")
+    lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("lines"))
+    starts = lines.where(F.size("lines") >= span).select("*", F.explode(F.sequence(F.lit(0), F.size("lines") - span)).alias("pos"))
+    parts = [F.get("lines", F.col("pos") + k) for k in range(span)]
+    found = starts.where(F.trim(F.concat(*parts)) != "").select(
+        "doc_id", "text_hash", "pos", F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(span), *reversed(parts)).alias("h2")
+    )
     at = F.struct("doc_id", "text_hash", "pos")
     firsts = found.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").drop("last")
     later = found.join(firsts, ["h1", "h2"]).where(at != F.col("first"))
