@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, linedup, mixing
+from . import chat, decontam, linedup, mixing, quality
 
 QUERIES, ORACLES = {}, {}
 
@@ -75,3 +75,8 @@ def op10(spark, sf_dir):
 @query("op8_soft_mixing")
 def op8(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_quality_rules")
+def op2(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"))
