@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, linedup, mixing, quality
+from . import chat, decontam, linedup, mixing, quality, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -80,3 +80,8 @@ def op8(spark, sf_dir):
 @query("op2_quality_rules")
 def op2(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"))
+
+
+@query("op1_toxicity")
+def op1(spark, sf_dir):
+    return toxicity.fit_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
