@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, linedup, mixing, quality, toxicity
+from . import chat, decontam, linedup, mixing, pages, pii, quality, toxicity, urls
 
 QUERIES, ORACLES = {}, {}
 
@@ -85,3 +85,19 @@ def op2(spark, sf_dir):
 @query("op1_toxicity")
 def op1(spark, sf_dir):
     return toxicity.fit_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_personal_data")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
+@query("op9_main_text")
+def op9(spark, sf_dir):
+    return pages.extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op6_url_templates")
+def op6(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"))
