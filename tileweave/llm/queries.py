@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, linedup, mixing, pages, pii, quality, toxicity, urls
+from . import chat, decontam, jaccard, linedup, mixing, pages, pii, quality, toxicity, urls
 
 QUERIES, ORACLES = {}, {}
 
@@ -101,3 +101,8 @@ def op9(spark, sf_dir):
 @query("op6_url_templates")
 def op6(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op3_jaccard_join")
+def op3(spark, sf_dir):
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))

@@ -4,7 +4,7 @@ A path is cut into segments. Segments that vary (numbers, hashes, dates, long na
 start; so is a literal segment of a node with too many different children. Branches of a node with the same
 segments below them are merged if their block rates do not differ significantly. A template's purity is
 the share of blocked urls among those that a rule labels, smoothed towards the middle between the template
-above it (up to the host) and the whole table; templates above the threshold are rejected. So urls without
+above it (up to the host) and the blocked share of all urls; templates above the threshold are rejected. So urls without
 labelled neighbours pass unless nearly everything labelled around them is blocked.
 """
 
@@ -108,21 +108,21 @@ def _merged(leaves: DataFrame) -> DataFrame:
     gap = F.abs(F.col("n_blocked") / F.greatest(F.col("n_labelled"), F.lit(1)) - rest_b / F.greatest(rest_n, F.lit(1)))
     apart = (F.col("n_labelled") > 0) & (rest_n > 0) & (gap >= MERGE_Z * error)
     last = F.when(apart | (F.col("depth") == 0), F.col("template")).otherwise(F.concat("node", F.array(F.lit("+"))))
-    return both.select("host", "segments", "template", "n_labelled", "n_blocked", last.alias("branch"))
+    return both.select("host", "segments", "template", "n_urls", "n_labelled", "n_blocked", last.alias("branch"))
 
 
 def template_purity(urls: DataFrame) -> DataFrame:
     """``host, segments, template, purity`` from one row per url with ``host, segments, verdict`` (null: no rule).
 
     Purity: (blocked + PRIOR * base) / (labelled + PRIOR), for the host, for the subtree of the first segment
-    and for the branch; the base is the mean of the purity one level up and the share in the whole table.
+    and for the branch; the base is the mean of the purity one level up and the blocked share of all urls.
     """
     blocked, labelled = F.count_if(F.col("verdict") == "block"), F.count("verdict")
-    counts = cut_lineage(urls.groupBy("host", "segments").agg(labelled.alias("n_labelled"), blocked.alias("n_blocked")))
+    counts = cut_lineage(urls.groupBy("host", "segments").agg(F.count("*").alias("n_urls"), labelled.alias("n_labelled"), blocked.alias("n_blocked")))
     shaped = cut_lineage(_merged(_templates(counts)))
     shaped = shaped.withColumn("top", F.get("branch", F.lit(0)))
-    total = shaped.agg(F.sum("n_labelled").alias("n"), F.sum("n_blocked").alias("b")).first()
-    overall = F.lit(((total["b"] or 0) + 0.5) / ((total["n"] or 0) + 1.0))
+    total = shaped.agg(F.sum("n_labelled").alias("n"), F.sum("n_blocked").alias("b"), F.sum("n_urls").alias("u")).first()
+    overall = F.lit(((total["b"] or 0) + 0.5) / ((total["u"] or 0) + 1.0))
     above = overall
     for keys in (["host"], ["host", "top"], ["host", "branch"]):
         name = "pure_" + keys[-1]
