@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tileweave.session import shared_dir
 
 from .components import components
+from .frames import fresh
 from .tokens import Texts, chunks, lower, mix, shingles
 
 #: Shingles counted this often or more go last in the order; at most so many of them (8 bytes each) are sent to the executors. The order decides speed, never results.
@@ -123,20 +124,20 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray) -> D
         for b in batches:
             for _, size, text, h in _sets(b.column(0), k):
                 ids = _node_ids(size, text, h)
-                fresh = np.zeros(len(size), bool)
+                unseen = np.zeros(len(size), bool)
                 for t in np.flatnonzero(size):
                     if ids[t] not in seen:
                         seen.add(ids[t])
-                        fresh[t] = True
+                        unseen[t] = True
                 if len(seen) > 500_000:
                     seen.clear()
-                keep = fresh[text]
+                keep = unseen[text]
                 text, h = text[keep], h[keep]
                 spot = np.minimum(np.searchsorted(late, h), max(len(late) - 1, 0))
                 common = late[spot] == h if len(late) else np.zeros(len(h), bool)
                 order = np.lexsort((h, common, text))
                 text, h, common = text[order], h[order], common[order]
-                left = np.where(fresh, size, 0)
+                left = np.where(unseen, size, 0)
                 place = np.arange(len(h)) - (np.cumsum(left) - left)[text]
                 first = place < (left - (left * num + den - 1) // den + 1)[text]
                 text, h, common, place = text[first], h[first], common[first], place[first]
@@ -259,3 +260,15 @@ def _links(docs: DataFrame, first: DataFrame, reps: DataFrame, k: int, num: int,
     if rest.isEmpty():
         return links
     return links.union(_compare(rest, docs, reps, k, num, den))
+
+
+def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The documents without near copies: of each class the smallest ``doc_id`` stays, with all its columns.
+
+    Rows that share a ``doc_id`` are one document; they and rows without ``doc_id`` stay as they are, and so
+    do documents without words.
+    """
+    (gone,) = fresh(docs, "copied_doc_id")
+    classes = jaccard_join(docs, k, num, den).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("low"))
+    copies = classes.where("doc_id <> low").select(F.col("doc_id").alias(gone))
+    return docs.join(copies.hint("shuffle_hash"), docs["doc_id"] == F.col(gone), "left_anti")

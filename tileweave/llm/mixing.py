@@ -22,6 +22,8 @@ DOMAINS = ("good", "poor", "toxic")
 TARGETS = (0.90, 0.08, 0.02)
 #: Bounds of the classifier: labelled documents it is fitted on, and words it keeps (both broadcastable).
 TRAIN_DOCS, VOCABULARY, MIN_DOCS = 4000, 4000, 4
+#: A word's rate in a domain is shrunk towards its rate in all by so many documents.
+SHRINK = 20.0
 STEPS, TOLERANCE = 40, 1e-4
 
 
@@ -42,7 +44,8 @@ def fit_words(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS,
     counts = rows.groupBy("word").agg(*per)
     totals = counts.where("word = ''").select(*[F.col(f"n{k}").alias(f"t{k}") for k in range(len(DOMAINS))])
     scored = counts.join(F.broadcast(totals)).where((F.col("n0") + F.col("n1") + F.col("n2") >= min_docs) | (F.col("word") == ""))
-    rate = [F.log((F.col(f"n{k}") + 0.5) / (F.col(f"t{k}") + 1.0)) for k in range(len(DOMAINS))]
+    usual = (F.col("n0") + F.col("n1") + F.col("n2") + 0.5) / (F.col("t0") + F.col("t1") + F.col("t2") + 1.0)
+    rate = [F.log((F.col(f"n{k}") + SHRINK * usual) / (F.col(f"t{k}") + SHRINK)) for k in range(len(DOMAINS))]
     prior = [F.log(F.col(f"t{k}") + 1.0) for k in range(len(DOMAINS))]
     weights = [F.when(F.col("word") == "", p - prior[0]).otherwise(r - rate[0]).alias(f"w{k}") for k, (r, p) in enumerate(zip(rate, prior))]
     spread = (F.greatest(*rate) - F.least(*rate)) * F.sqrt(F.col("n0") + F.col("n1") + F.col("n2"))
