@@ -24,7 +24,7 @@ TARGETS = (0.90, 0.08, 0.02)
 TRAIN_DOCS, VOCABULARY, MIN_DOCS = 4000, 4000, 4
 #: A word's rate in a domain is shrunk towards its rate in all by so many documents.
 SHRINK = 20.0
-STEPS, TOLERANCE = 40, 1e-4
+STEPS, TOLERANCE = 60, 1e-4
 
 
 def domain(quality, toxic):
@@ -81,7 +81,8 @@ def fit_rates(members: DataFrame, targets=TARGETS, steps: int = STEPS, tolerance
     """``members`` with ``rate``: how often to use each document.
 
     Each miss counts relative to the domain's present share, which makes the Hessian close to the identity;
-    the step is the inverse of its largest eigenvalue. Stops when every domain is within ``tolerance`` of its
+    the step starts at the inverse of its largest eigenvalue, grows while the misses shrink and is cut when
+    they do not. Stops when every domain is within ``tolerance`` of its
     target (as a share of all tokens) or after ``steps`` steps. A domain without mass cannot be met; its share
     stays open. Documents without tokens keep a rate like any other of their posterior.
     """
@@ -98,14 +99,20 @@ def fit_rates(members: DataFrame, targets=TARGETS, steps: int = STEPS, tolerance
         inverse = [1 / s if s > 1e-9 else 0.0 for s in share]
         gram = [[first[f"g{i}{j}"] / total * math.sqrt(inverse[i] * inverse[j]) for j in n] for i in n]
         step = 1 / max(_largest(gram), 1e-9)
-        now = share
-        for k in range(steps):
+        now, best = share, None
+        for _ in range(steps):
             miss = [(a - b) * w for a, b, w in zip(now, targets, inverse)]
-            if max(abs(m) / w if w else 0.0 for m, w in zip(miss, inverse)) <= tolerance:
+            far = sum(m * m / w for m, w in zip(miss, inverse) if w)
+            if best is None or far < best[0]:
+                step, best = step * 1.5 if best else step, (far, rate, miss)
+            else:
+                step /= 3
+            if max(abs(m) / w if w else 0.0 for m, w in zip(best[2], inverse)) <= tolerance:
                 break
-            rate = F.greatest(F.lit(0.0), rate - sum((F.col(f"p{i}") * (step * miss[i]) for i in n), F.lit(0.0)))
+            rate = F.greatest(F.lit(0.0), best[1] - sum((F.col(f"p{i}") * (step * best[2][i]) for i in n), F.lit(0.0)))
             row = members.agg(*[F.sum(rate * weight * F.col(f"p{i}")).alias(f"s{i}") for i in n]).first()
             now = [row[f"s{i}"] / total for i in n]
+        rate = best[1] if best else rate
     return members.withColumn("rate", F.round(rate, 5))
 
 
