@@ -27,8 +27,8 @@ THRESHOLD = 0.3
 class Settings:
     buckets: int = 1 << 16
     dim: int = 8
-    grams: tuple[int, ...] = (3, 4, 5, 6)
-    window: int = 4
+    grams: tuple[int, ...] = (3, 4, 5)
+    window: int = 2
     mean_steps: int = 25
     window_steps: int = 75
     rate: float = 0.6
@@ -66,7 +66,8 @@ class Words:
             for k in range(n):
                 h = h * np.uint64(0x100000001B3) + self._framed()[k : len(self.data) - n + 1 + k]
             bucket = (mix(h + np.uint64(n)) % np.uint64(buckets)).astype(np.int64)
-        return bucket, self.start - 1, np.maximum(self.end + 1 - n + 1, self.start - 1)
+        low = np.minimum(self.start - 1, len(bucket))
+        return bucket, low, np.maximum(self.end + 2 - n, low)
 
     def _framed(self) -> np.ndarray:
         edge = np.ones(len(self.data), bool)
