@@ -347,16 +347,13 @@ def apply_mask(spark, d):
     "lut_join",
     with_views(
         """SELECT image_id, x, y, coalesce(CAST(mapped AS INTEGER), r) AS r, g, b, a, width, height FROM px
-        LEFT JOIN (SELECT p_partkey AS v, max(255 - p_partkey) AS mapped FROM part WHERE p_partkey BETWEEN 0 AND 255
-                   GROUP BY p_partkey) ON v = r""",
+        LEFT JOIN (SELECT p_partkey % 256 AS v, max(p_size) AS mapped FROM part GROUP BY 1) ON v = r""",
         PX,
     ),
 )
 def lut_join(spark, d):
-    """A lookup table kept as data: inverts red through a table derived from ``part``."""
-    lut = v.table(spark, d, "part").select(
-        F.col("p_partkey").cast("int").alias("v"), (255 - F.col("p_partkey")).cast("int").alias("mapped")
-    )
+    """A lookup table kept as data: replaces red through a table of the largest size per key, derived from ``part``."""
+    lut = v.table(spark, d, "part").groupBy((F.col("p_partkey") % 256).cast("int").alias("v")).agg(F.max("p_size").cast("int").alias("mapped"))
     return _full(tone.lut_join(v.px(spark, d), lut))
 
 

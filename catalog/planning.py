@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tileweave.functions import binary, encoding as enc, geometry as geo, validation as val
 from tileweave.operators import audit
 from tileweave.plans.renditions import plan_renditions
-from tileweave.session import spread_if_narrow
+from tileweave.session import spread
 from tileweave.sources import formats as fm, presets as ps
 
 from . import views as v
@@ -457,20 +457,21 @@ _RENDITIONS = """renditions AS (
       THEN greatest(round(w::DOUBLE * least(fit::DOUBLE / w, fit::DOUBLE / h)), 1) WHEN op IN ('r90', 'r270') OR (op = 'auto' AND m.ord % 9 BETWEEN 5 AND 8) THEN h ELSE w END::BIGINT AS out_width,
     CASE WHEN percent IS NOT NULL THEN greatest(round(h * (percent / 100.0e0)), 1) WHEN fit IS NOT NULL
       THEN greatest(round(h::DOUBLE * least(fit::DOUBLE / w, fit::DOUBLE / h)), 1) WHEN op IN ('r90', 'r270') OR (op = 'auto' AND m.ord % 9 BETWEEN 5 AND 8) THEN w ELSE h END::BIGINT AS out_height,
-    coalesce(p.target, m.sniffed) AS target,
-    CASE coalesce(p.target, m.sniffed) WHEN 'jpeg' THEN coalesce(quality, 75) WHEN 'avif' THEN coalesce(quality, 80) ELSE -1 END::INTEGER AS quality,
-    concat(regexp_replace(path, '\\.[^.]*$', ''), suffix, '.', f.extension) AS output
-  FROM (SELECT *, width::BIGINT AS w, height::BIGINT AS h FROM manifest WHERE sniffed IS NOT NULL) m CROSS JOIN presets p
-  JOIN formats f ON f.format = coalesce(p.target, m.sniffed))"""
+    CASE WHEN m.sniffed IS NOT NULL THEN coalesce(p.target, m.sniffed) END AS target,
+    CASE CASE WHEN m.sniffed IS NOT NULL THEN coalesce(p.target, m.sniffed) END WHEN 'jpeg' THEN coalesce(quality, 75) WHEN 'avif' THEN coalesce(quality, 80) ELSE -1 END::INTEGER AS quality,
+    CASE WHEN m.sniffed IS NOT NULL THEN concat(regexp_replace(path, '\\.[^.]*$', ''), suffix, '.', f.extension) END AS output,
+    CASE WHEN m.sniffed IS NULL THEN 'failed' END AS status
+  FROM (SELECT *, width::BIGINT AS w, height::BIGINT AS h FROM manifest) m CROSS JOIN presets p
+  LEFT JOIN formats f ON f.format = coalesce(p.target, m.sniffed))"""
 
 
 def _renditions(spark, d):
-    m = spread_if_narrow(v.manifest(spark, d).filter("sniffed IS NOT NULL"), "ord")
+    m = spread(v.manifest(spark, d))
     images = m.withColumn("format", F.col("sniffed")).withColumn("orientation", (F.col("ord") % 9).cast("int"))
     return plan_renditions(images).withColumn("quality", F.coalesce("encoder.quality", F.lit(-1)))
 
 
-_RENDITION_COLUMNS = "ord, preset_id, preset_group, out_width, out_height, target, quality, output"
+_RENDITION_COLUMNS = "ord, preset_id, preset_group, out_width, out_height, target, quality, output, status"
 
 
 @query("plan_renditions", with_views(f"SELECT {_RENDITION_COLUMNS} FROM renditions", MANIFEST, _FORMAT_SQL, _PRESET_SQL, _RENDITIONS))

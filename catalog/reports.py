@@ -98,7 +98,7 @@ def groups_in_order(spark, d):
     "preset_groups",
     with_views(
         """SELECT * FROM (VALUES ('convert', 0), ('resize', 5), ('rotate', 10), ('flip', 14), ('adjust', 16), ('web', 21)) AS t("group", first_ord)
-        JOIN (SELECT count(*) AS files FROM manifest WHERE sniffed IS NOT NULL) ON true""",
+        JOIN (SELECT count(*) AS files FROM manifest) ON true""",
         MANIFEST,
     ),
 )
@@ -106,7 +106,7 @@ def preset_groups(spark, d):
     """Groups of all renditions of the manifest, in the order the presets declare them."""
     from tileweave.plans.renditions import plan_renditions
 
-    images = v.manifest(spark, d).filter("sniffed IS NOT NULL").withColumn("format", F.col("sniffed"))
+    images = v.manifest(spark, d).withColumn("format", F.col("sniffed"))
     plan = plan_renditions(images)
     sizes = plan.groupBy(F.col("preset_group").alias("group"), "preset_id").agg(F.count("*").alias("files"))
     return stats.groups_in_order(plan, "preset_group", "preset_ord").join(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tileweave.session import spread_if_narrow
+from tileweave.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +27,7 @@ def shape_width(image_id: Column) -> Column:
 
 def px(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p")
-    rows = spread_if_narrow(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id").select(
+    rows = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select(
         F.col("vec_id").cast("bigint").alias("image_id"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p")
     )
     return rows.withColumn("width", shape_width(F.col("image_id"))).select(
@@ -45,7 +45,7 @@ def px(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p")
-    rows = spread_if_narrow(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id").select(
+    rows = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select(
         F.col("vec_id").cast("bigint").alias("image_id"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p")
     )
     return rows.withColumn("width", shape_width(F.col("image_id"))).select(
@@ -86,10 +86,9 @@ def name_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def existing_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     slot = (F.col("l_linenumber") * 3 % 7).cast("string")
-    stem = F.concat(F.lit("/out/"), (F.col("l_partkey") % 97).cast("string"))
+    stem = F.concat(F.lit("/out/"), ((F.col("l_orderkey") * 7 + F.col("l_partkey")) % 30_000).cast("string"))
     name = F.concat(stem, F.when(slot == "0", F.lit(".png")).otherwise(F.concat(F.lit("_"), slot, F.lit(".png"))))
-    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_orderkey") % 50 == 0)
-    return lines.select(name.alias("output")).distinct()
+    return table(spark, sf_dir, "lineitem").select(name.alias("output")).distinct()
 
 
 def outcomes_of(events: DataFrame) -> DataFrame:
@@ -219,9 +218,9 @@ MANIFEST = """manifest AS (
 NAME_PLAN = "plan AS (SELECT o_orderkey AS ord, concat('/out/', o_custkey % 97, '.png') AS naive FROM orders)"
 
 EXISTING = """existing AS (
-  SELECT DISTINCT concat('/out/', l_partkey % 97, CASE WHEN l_linenumber * 3 % 7 = 0 THEN ''
+  SELECT DISTINCT concat('/out/', (l_orderkey * 7 + l_partkey) % 30000, CASE WHEN l_linenumber * 3 % 7 = 0 THEN ''
            ELSE concat('_', l_linenumber * 3 % 7) END, '.png') AS output
-  FROM lineitem WHERE l_orderkey % 50 = 0)"""
+  FROM lineitem)"""
 
 OUTCOMES = """outcomes AS (
   SELECT event_id AS ord, user_id % 20 AS job_id, ts AS finished_at,

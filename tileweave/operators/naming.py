@@ -13,12 +13,20 @@ from ..session import cut_lineage
 # Highest numbered sibling, and how a numbered sibling is spelled.
 LAST_SLOT = 9999
 NUMBERED = r"^([\s\S]*)_([1-9][0-9]{0,3})(\.[^./]*)$"
+#: Copies of a name that rows are dealt over.
+LANES = 16
 
 
 def split_existing(plan: DataFrame, existing: DataFrame, output: str = "output") -> tuple[DataFrame, DataFrame]:
-    """``(skipped, todo)``: plan rows whose output already exists, and the others."""
-    listing = existing.select(output)
-    return plan.join(listing, output, "left_semi"), plan.join(listing, output, "left_anti")
+    """``(skipped, todo)``: plan rows whose output already exists, and the others.
+
+    The listing is probed once per distinct output; the hits go back to the rows in ``LANES`` copies, so that
+    an output asked for by very many rows is spread over as many tasks.
+    """
+    hits = plan.select(output).distinct().join(existing.select(output).distinct(), output, "left_semi")
+    hits = hits.withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))))
+    dealt = plan.withColumn("_lane", F.pmod(F.monotonically_increasing_id(), F.lit(LANES)).cast("int"))
+    return dealt.join(hits, [output, "_lane"], "left_semi").select(*plan.columns), dealt.join(hits, [output, "_lane"], "left_anti").select(*plan.columns)
 
 
 def resolve_skip(plan: DataFrame, existing: DataFrame, output: str = "output", ord_: str = "ord") -> DataFrame:

@@ -16,13 +16,18 @@ from ..functions.validation import MAX_PIXELS
 
 
 def to_pixels(images: DataFrame, image_id: str = "image_id", spread_lines: bool = False) -> DataFrame:
-    """Raster rows to pixel rows; alpha is 255 without an alpha channel, gray fills r, g and b.
+    """Raster rows to pixel rows; alpha is 255 without an alpha channel, gray (with or without alpha) fills r, g and b.
+
+    Samples are bytes: where the rasters have a ``mode`` (OpenCV type), one of another depth is refused.
 
     Exploded in two steps, scanlines first, so no array is longer than a side of the image.
     ``spread_lines`` shuffles the scanlines (as many bytes as the rasters have), so that a few very
     large images keep all tasks busy; many images do not need it.
     """
     channels = F.col("nChannels")
+    if "mode" in images.columns:
+        refused = F.raise_error(F.concat(F.lit("only 8-bit rasters have pixels here, mode "), F.col("mode").cast("string"))).cast("binary")
+        images = images.withColumn("data", F.when(F.coalesce(F.col("mode") % 8, F.lit(0)) == 0, F.col("data")).otherwise(refused))
     stride = F.col("width") * channels
     lines = (
         images.filter((F.col("width") > 0) & (F.col("height") > 0))
@@ -47,24 +52,24 @@ def to_pixels(images: DataFrame, image_id: str = "image_id", spread_lines: bool
         return F.shiftright("_p", shift).bitwiseAND(F.lit(255)).cast("int")
 
     def sample(gray: Column, rgb: Column, rgba: Column) -> Column:
-        return F.when(channels == 1, gray).when(channels == 3, rgb).otherwise(rgba)
+        return F.when(channels <= 2, gray).when(channels == 3, rgb).otherwise(rgba)
 
     opaque = F.lit(255)
+    first = F.when(channels == 2, byte(8)).otherwise(byte(0))
     return packed.select(
         image_id, "width", "height", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"),
-        sample(byte(0), byte(0), byte(8)).alias("r"),
-        sample(byte(0), byte(8), byte(16)).alias("g"),
-        sample(byte(0), byte(16), byte(24)).alias("b"),
-        sample(opaque, opaque, byte(0)).alias("a"),
+        sample(first, byte(0), byte(8)).alias("r"),
+        sample(first, byte(8), byte(16)).alias("g"),
+        sample(first, byte(16), byte(24)).alias("b"),
+        sample(F.when(channels == 2, byte(0)).otherwise(opaque), opaque, byte(0)).alias("a"),
     )
 
 
-def from_pixels(px: DataFrame, image_id: str = "image_id", alpha: bool = True) -> DataFrame:
-    """Pixel rows to one raster row per image.
+def from_pixels_bands(px: DataFrame, image_id: str = "image_id", alpha: bool = True, band_lines: int = 256) -> DataFrame:
+    """Pixel rows to bands of scanlines: ``image_id, band, first_line, width, height, pixels, data``.
 
-    Assembled scanline by scanline, so what a single aggregate holds is one line of packed pixels
-    and then one value per line. The result row itself is the whole raster, which the pixel cap
-    bounds at 1 GiB; larger images are refused.
+    ``width`` and ``height`` are the band's extent by its largest coordinates; ``pixels`` counts its rows, so a
+    hole shows as ``pixels < width * height``. There is no limit on an image's size.
     """
     packed = F.lit(0).cast("bigint")
     for channel in "bgra" if alpha else "bgr":
@@ -73,20 +78,32 @@ def from_pixels(px: DataFrame, image_id: str = "image_id", alpha: bool = True) -
     lines = (
         px.select(image_id, "x", "y", F.unhex(F.lpad(F.hex(packed), digits, "0")).alias("_p"))
         .groupBy(image_id, "y")
-        .agg(F.count("*").cast("int").alias("width"), F.expr("listagg(_p) WITHIN GROUP (ORDER BY x)").alias("_line"))
+        .agg(F.count("*").alias("_n"), F.max("x").alias("_x"), F.expr("listagg(_p) WITHIN GROUP (ORDER BY x)").alias("_line"))
+    )
+    bands = lines.groupBy(image_id, F.floor(F.col("y") / band_lines).alias("band")).agg(
+        F.min("y").alias("first_line"), (F.max("_x") + 1).cast("int").alias("width"), F.max("y").alias("_last"),
+        F.sum("_n").alias("pixels"), F.expr("listagg(_line) WITHIN GROUP (ORDER BY y)").alias("data"),
     )
-    rasters = lines.groupBy(image_id).agg(
-        F.max("width").alias("width"),
-        F.count("*").cast("int").alias("height"),
-        F.sum(F.col("width").cast("bigint")).alias("_pixels"),
-        F.expr("listagg(_line) WITHIN GROUP (ORDER BY y)").alias("_data"),
+    return bands.select(image_id, "band", "first_line", "width", (F.col("_last") - F.col("first_line") + 1).cast("int").alias("height"), "pixels", "data")
+
+
+def from_pixels(px: DataFrame, image_id: str = "image_id", alpha: bool = True) -> DataFrame:
+    """Pixel rows to one raster row per image, with a ``status``.
+
+    ``decoded``: the raster is complete. ``incomplete``: a pixel is missing or given twice. ``too_large``: one row
+    cannot hold it (over the pixel cap). The last two have no ``data``; ``from_pixels_bands`` has no limit.
+    """
+    bands = from_pixels_bands(px, image_id, alpha)
+    sizes = bands.groupBy(image_id).agg(
+        F.max("width").alias("width"), F.max(F.col("first_line") + F.col("height")).cast("int").alias("height"), F.sum("pixels").alias("_pixels")
     )
-    return rasters.select(
-        image_id, "width", "height", F.lit(4 if alpha else 3).alias("nChannels"),
-        F.lit(24 if alpha else 16).alias("mode"),
-        F.when(F.col("_pixels") <= MAX_PIXELS, F.col("_data"))
-        .otherwise(F.raise_error(F.lit("image exceeds the pixel cap")).cast("binary"))
-        .alias("data"),
+    area = F.col("width").cast("bigint") * F.col("height")
+    status = F.when(area != F.col("_pixels"), "incomplete").when(area > MAX_PIXELS, "too_large").otherwise("decoded")
+    sizes = sizes.select(image_id, "width", "height", status.alias("status"))
+    fit = bands.join(sizes.filter("status = 'decoded'").select(image_id), image_id, "left_semi")
+    data = fit.groupBy(image_id).agg(F.expr("listagg(data) WITHIN GROUP (ORDER BY band)").alias("data"))
+    return sizes.join(data, image_id, "left").select(
+        image_id, "width", "height", F.lit(4 if alpha else 3).alias("nChannels"), F.lit(24 if alpha else 16).alias("mode"), "data", "status"
     )
 
 
@@ -159,35 +176,27 @@ def crop(px: DataFrame, x, y, width, height) -> DataFrame:
 def overlay_on_canvas(px: DataFrame, canvas_width, canvas_height, dx, dy, image_id: str = "image_id") -> DataFrame:
     """Every image on its own transparent canvas, shifted by (dx, dy); overhanging pixels are cut.
 
-    The parameters may be columns that are constant per image. A raster covers its rectangle
-    completely, so the canvas is the shifted pixels plus an empty frame around them. Each image's
-    top-left pixel generates that frame next to itself: one pass, no join, no shuffle.
+    The parameters may be columns that are constant per image. The canvas is the shifted pixels plus an empty
+    frame around the image's rectangle. The frame comes from one row per image, its lines before its cells, so
+    that no task makes a whole canvas out of one row.
     """
     cw, ch, ox, oy = (as_col(v).cast("bigint") for v in (canvas_width, canvas_height, dx, dy))
-    zero, itself = F.lit(0).cast("bigint"), F.lit(-1).cast("bigint")
     placed = px.select(
         image_id, "r", "g", "b", "a", cw.alias("_cw"), ch.alias("_ch"), ox.alias("_dx"), oy.alias("_dy"),
         F.col("width").cast("bigint").alias("_fw"), F.col("height").cast("bigint").alias("_fh"),
-        (F.col("x") + ox).alias("_px"), (F.col("y") + oy).alias("_py"),
-        ((F.col("x") == 0) & (F.col("y") == 0)).alias("_first"),
+        (F.col("x") + ox).alias("x"), (F.col("y") + oy).alias("y"),
     )
-    lines = F.when(F.col("_first"), F.concat(F.array(itself), F.sequence(zero, F.col("_ch") - 1))).otherwise(F.array(itself))
-    cells = F.when(F.col("_line") < 0, F.array(itself)).otherwise(F.sequence(zero, F.col("_cw") - 1))
-    spread = placed.withColumn("_line", F.explode(lines)).withColumn("_cell", F.explode(cells))
-    pixel = F.col("_line") < 0
-    x, y = F.when(pixel, F.col("_px")).otherwise(F.col("_cell")), F.when(pixel, F.col("_py")).otherwise(F.col("_line"))
-    covered = (
-        (F.col("x") >= F.col("_dx")) & (F.col("x") < F.col("_dx") + F.col("_fw"))
-        & (F.col("y") >= F.col("_dy")) & (F.col("y") < F.col("_dy") + F.col("_fh"))
+    extent = ["_cw", "_ch", "_dx", "_dy", "_fw", "_fh"]
+    images = placed.groupBy(image_id).agg(*[F.max(c).alias(c) for c in extent])
+    zero = F.lit(0).cast("bigint")
+    lines = images.withColumn("y", F.explode(F.sequence(zero, F.col("_ch") - 1))).repartition(image_id, "y")
+    frame = lines.withColumn("x", F.explode(F.sequence(zero, F.col("_cw") - 1))).filter(
+        ~((F.col("x") >= F.col("_dx")) & (F.col("x") < F.col("_dx") + F.col("_fw")) & (F.col("y") >= F.col("_dy")) & (F.col("y") < F.col("_dy") + F.col("_fh")))
     )
     on_canvas = (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < F.col("_cw")) & (F.col("y") < F.col("_ch"))
-    shown = pixel & (F.col("a") > 0)
-    return (
-        spread.withColumns({"x": x, "y": y})
-        .filter(on_canvas & (pixel | ~covered))
-        .select(
-            image_id, F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"),
-            *[F.when(shown, F.col(c)).otherwise(0).alias(c) for c in "rgba"],
-            F.col("_cw").cast("int").alias("width"), F.col("_ch").cast("int").alias("height"),
-        )
+    shown = placed.filter(on_canvas).withColumns({c: F.when(F.col("a") > 0, F.col(c)).otherwise(0) for c in "rgba"})
+    both = shown.unionByName(frame.withColumns({c: F.lit(0) for c in "rgba"}))
+    return both.select(
+        image_id, F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), *[F.col(c).cast("int").alias(c) for c in "rgba"],
+        F.col("_cw").cast("int").alias("width"), F.col("_ch").cast("int").alias("height"),
     )

@@ -73,8 +73,14 @@ def gamma(px: DataFrame, value) -> DataFrame:
 
 
 def lut_join(px: DataFrame, lut: DataFrame, channel: str = "r") -> DataFrame:
-    """Replaces one channel through a table ``v, mapped`` of at most 256 rows (8-bit samples)."""
-    bounded = lut.filter(F.col("v").between(0, 255)).groupBy(F.col("v").alias("_v")).agg(F.max("mapped").alias("_mapped"))
+    """Replaces one channel through a table ``v, mapped`` of at most 256 rows (8-bit samples).
+
+    A table with a repeated, missing or out-of-range ``v`` is refused when the plan runs.
+    """
+    entries = lut.groupBy(F.col("v").alias("_v")).agg(F.max("mapped").alias("_mapped"), F.count("*").alias("_n"))
+    sound = F.coalesce(F.col("_v").between(0, 255), F.lit(False)) & (F.col("_n") == 1)
+    refused = F.raise_error(F.concat(F.lit("bad lookup entry: "), F.coalesce(F.col("_v").cast("string"), F.lit("null"))))
+    bounded = entries.select(F.when(sound, F.col("_v")).otherwise(refused.cast("int")).alias("_v"), "_mapped")
     joined = px.join(F.broadcast(bounded), F.col(channel) == F.col("_v"), "left")
     return joined.withColumn(channel, F.coalesce("_mapped", F.col(channel))).drop("_v", "_mapped")
 
@@ -125,4 +131,5 @@ def mask_to_alpha(value) -> Column:
 def apply_mask(px: DataFrame, mask: DataFrame, image_id: str = "image_id", value: str = "m") -> DataFrame:
     """Alpha from the mask's value at the same pixel; the original alpha is discarded."""
     m = mask.select(image_id, "x", "y", mask_to_alpha(value).alias("a"))
-    return px.drop("a").join(m, [image_id, "x", "y"])
+    # Size estimates do not see the pixels that an image explodes to, so neither side may be broadcast on their word.
+    return px.drop("a").join(m.hint("merge"), [image_id, "x", "y"])

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.binary import read_dims
 from ..functions.paths import output_path
 from ..functions.validation import admit
 from ..operators.audit import decide_outcome
@@ -15,6 +14,7 @@ from ..operators.naming import resolve_increment_all, resolve_replace, resolve_s
 from ..operators.stats import batch_averages, batch_summary
 from ..session import cut_lineage, spread
 from ..sources.formats import extension_of, sniff_format
+from ..sources.headers import with_dims
 
 
 def plan_conversion(
@@ -23,14 +23,15 @@ def plan_conversion(
 ) -> DataFrame:
     """Names, admission and status of every file before any pixel is read.
 
+    A file whose size cannot be read from its header is not admitted (``unreadable_header``): its pixels may be any number.
+
     ``files`` has ``ord, path, length, content``; ``existing`` has ``output``. The result carries
     ``status`` = skipped or failed for rows that are settled, and null for rows still to be encoded.
     Under ``replace`` only the last input of an output is encoded; the others are skipped with
     ``error_kind`` superseded. Content is not in the result.
     """
     directory = F.lit(output_dir) if output_dir else None
-    headed = sniff_format(files, name="source_format").withColumn("_dims", read_dims("content")).drop("content")
-    sized = headed.select("*", F.col("_dims.width").alias("width"), F.col("_dims.height").alias("height")).drop("_dims")
+    sized = with_dims(sniff_format(files, name="source_format")).drop("content")
     named = sized.withColumn(
         "output",
         output_path("path", F.lit(suffix) if suffix else None, extension_of(F.lit(target)), directory),
@@ -38,7 +39,7 @@ def plan_conversion(
         "decode_error",
         F.when(F.col("output").isNull(), "no_stem")
         .when(F.col("source_format").isNull(), "unsupported_format")
-        .otherwise(admit("length", "width", "height")),
+        .otherwise(F.coalesce(admit("length", "width", "height"), F.when(F.col("width").isNull(), "unreadable_header"))),
     )
     # Everything below works on these narrow facts, several times over; the files are read once.
     named = cut_lineage(named)
@@ -91,7 +92,8 @@ def run_conversion(
     todo = plan.filter("status IS NULL").select("ord", "path", "output")
     if not read_by_path:
         todo = todo.join(files.select("ord", "content"), "ord")
-    encoded = map_images(spread(todo, tasks), encode)
+    # Written once: reading the outcomes again must not encode the batch again.
+    encoded = cut_lineage(map_images(spread(todo, tasks), encode))
     settled = plan.filter("status IS NOT NULL").select(
         "ord", F.col("path").alias("input"), "output", "status", "error_kind", "error",
         F.col("length").alias("bytes_in"), F.lit(None).cast("bigint").alias("bytes_out"),

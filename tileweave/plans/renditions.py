@@ -16,7 +16,8 @@ def plan_renditions(images: DataFrame, output_dir: str | None = None) -> DataFra
 
     ``images`` has ``ord, path, width, height, format``; a column ``orientation``, if present, is
     followed by the automatic rotation. Presets are a literal array exploded next to each row, so
-    there is no join and the plan keeps the partitioning of its input.
+    there is no join and the plan keeps the partitioning of its input. An image of unknown format gets its
+    rows with ``status`` failed, without target and output; other rows have none yet.
     """
     orientation = F.col("orientation") if "orientation" in images.columns else F.lit(1)
     directory = F.lit(output_dir) if output_dir else parent("path")
@@ -35,8 +36,9 @@ def plan_renditions(images: DataFrame, output_dir: str | None = None) -> DataFra
         scaled = F.when(F.col("percent").isNotNull(), pct[name]).when(F.col("fit").isNotNull(), fit[name])
         return F.when(swap, F.col(other)).otherwise(F.coalesce(scaled, F.col(name))).cast("bigint").alias(f"out_{name}")
 
-    return rows.withColumn("target", F.coalesce("target", "format")).select(
+    return rows.withColumn("target", F.when(F.col("format").isNotNull(), F.coalesce("target", "format"))).select(
         "ord", "path", "preset_id", "preset_group", "preset_ord", side("width", "height"), side("height", "width"),
-        "target", encode_settings("target", "quality", "optimize").alias("encoder"),
+        "target", F.when(F.col("target").isNotNull(), encode_settings("target", "quality", "optimize")).alias("encoder"),
         F.concat("_base", "suffix", F.lit("."), extension_of("target")).alias("output"), "policy",
+        F.when(F.col("target").isNull(), "failed").alias("status"),
     )

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -17,14 +21,34 @@ def local_session(cores: int | str = "*", app: str = "tileweave", **conf: str) -
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers that do not have it installed (once per context)."""
+    context = spark.sparkContext
+    if getattr(context, "_tileweave_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / "tileweave.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._tileweave_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or a scratch one where it is unset."""
+    """The folder all executors see: ``spark.checkpoint.dir``, or a scratch one on a single machine.
+
+    On a cluster the setting must be there: a folder of the driver's own would be invisible to executors.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -33,7 +57,12 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(configured)
         return configured
     if current is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        master = context.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
         current = context.getCheckpointDir()
     return current
 
@@ -51,9 +80,3 @@ def spread(df, tasks: int | None = None):
     narrow rows look small, whatever the files or pixels behind them weigh.
     """
     return df.repartition(tasks or 4 * df.sparkSession.sparkContext.defaultParallelism)
-
-
-def spread_if_narrow(df, key: str):
-    """Spreads a table that arrives in fewer partitions than there are cores; others pass as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

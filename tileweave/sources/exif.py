@@ -43,7 +43,7 @@ FIELD_TYPES = {
 
 
 def exif_block(data: bytes) -> bytes | None:
-    """The TIFF-structured block of a JPEG, PNG or TIFF file; None if there is none."""
+    """The TIFF-structured block of a JPEG, PNG, WebP, HEIF/AVIF or TIFF file; None if there is none."""
     if data[:4] in (b"II*\0", b"MM\0*"):
         return data
     if data[:2] == b"\xff\xd8":
@@ -60,6 +60,19 @@ def exif_block(data: bytes) -> bytes | None:
             if data[at + 4 : at + 8] == b"eXIf":
                 return data[at + 8 : at + 8 + size]
             at += 12 + size
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        at = 12
+        while at + 8 <= len(data):
+            size = int.from_bytes(data[at + 4 : at + 8], "little")
+            if data[at : at + 4] == b"EXIF":
+                return data[at + 8 : at + 8 + size].removeprefix(b"Exif\0\0")
+            at += 8 + size + size % 2
+    if data[4:8] == b"ftyp":
+        # The item starts with the offset of its TIFF header, which a marker mostly precedes.
+        for start in (b"II*\0", b"MM\0*"):
+            at = data.find(b"Exif\0\0" + start)
+            if at >= 0:
+                return data[at + 6 :]
     return None
 
 

@@ -15,33 +15,61 @@ from ..session import cut_lineage
 FILE_OUTCOME = "ord bigint, output string, status string, error_kind string, error string, bytes_out bigint"
 
 
-def write_outputs(df: DataFrame, path: str, policy: str = "skip", partition_by: str = "target") -> None:
+def _table(spark, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``, or None where there is no such path yet; any other failure is raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def write_outputs(df: DataFrame, path: str, policy: str = "skip", partition_by: str = "target", order_by: str | None = None) -> None:
     """Writes rows keyed by ``output`` to a Parquet table partitioned by ``partition_by``.
 
-    ``skip`` leaves outputs that the table already has; ``replace`` rewrites the touched
-    partitions with the new rows taking precedence; ``increment`` expects names that were made
-    unique beforehand and appends. The committer publishes a job's files all at once or not at all.
+    ``skip`` leaves outputs that the table already has; ``replace`` rewrites the partitions that get rows
+    and those that lose some (a key may move); ``increment`` expects names that were made unique beforehand
+    and appends. Rows of one batch that share a key: the first stays under ``skip``, the last under
+    ``replace``, by ``order_by`` (default: ``ord`` if there is one). The committer publishes a job's files all
+    at once or not at all.
     """
     spark = df.sparkSession
     if policy not in ("skip", "replace", "increment"):
         raise ValueError(f"unknown policy: {policy}")
-    try:
-        existing = spark.read.parquet(path)
-    except AnalysisException:
-        existing = None
+    existing = _table(spark, path)
+    if policy != "increment":
+        order = order_by or ("ord" if "ord" in df.columns else None)
+        whole = F.struct(*[F.col(c) for c in df.columns])
+        key = F.col(order) if order else F.xxhash64(*df.columns)
+        chosen = (F.min_by if policy == "skip" else F.max_by)(whole, key)
+        df = df.groupBy("output").agg(chosen.alias("_row")).select("_row.*")
     if existing is None or policy == "increment":
         df.write.partitionBy(partition_by).mode("append").parquet(path)
     elif policy == "skip":
         todo = df.join(existing.select("output"), "output", "left_anti")
         todo.write.partitionBy(partition_by).mode("append").parquet(path)
     else:
-        touched = df.select(partition_by).distinct()
+        df = cut_lineage(df)
+        left = existing.join(df.select("output"), "output", "left_semi").select(partition_by)
+        touched = cut_lineage(df.select(partition_by).union(left).distinct())
         kept = existing.join(touched, partition_by, "left_semi").join(df.select("output"), "output", "left_anti")
         # Materialised first: the partitions being overwritten are also being read.
         merged = cut_lineage(df.unionByName(kept, allowMissingColumns=True))
-        merged.write.partitionBy(partition_by).mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).parquet(path)
+        emptied = touched.join(merged.select(partition_by).distinct(), partition_by, "left_anti")
+        merged.write.partitionBy(partition_by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+        _drop_partitions(spark, path, partition_by, [r[0] for r in emptied.collect()])
+
+
+def _drop_partitions(spark, path: str, column: str, values: list) -> None:
+    """Removes partitions whose every row moved elsewhere (dynamic overwrite leaves those alone)."""
+    if not values:
+        return
+    jvm = spark._jvm
+    for value in values:
+        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(column, None if value is None else str(value))
+        folder = jvm.org.apache.hadoop.fs.Path(path, name)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def export_files(df: DataFrame, content: str = "content") -> DataFrame:
