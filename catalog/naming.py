@@ -172,25 +172,38 @@ def resolve_increment(spark, d):
     return out.withColumn("slot", F.coalesce("slot", F.lit(-1)).cast("bigint"))
 
 
-# Every fourth input asks for a name that is another group's numbered sibling, and no listing stands in
-# the way. Such an input meets that sibling exactly when the group is large enough to reach its number.
+# Every fourth input asks for a name that is another group's numbered sibling; a listing holds sibling 2 of
+# every third group. In closed form: with r the rank of an input in its name, f the first row that asks for the
+# sibling and o2 the group's second row, slot 1 is gone for the group exactly if f is earlier than o2.
 _CROSS = """cross_plan AS (
-  SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 4 = 0 THEN concat('/out/g', o_custkey % 5000, '_1.png') ELSE concat('/out/g', o_custkey % 5000, '.png') END AS naive
-  FROM orders)"""
+  SELECT o_orderkey AS ord, o_custkey % 5000 AS c, o_orderkey % 4 = 0 AS child,
+         row_number() OVER (PARTITION BY o_custkey % 5000, o_orderkey % 4 = 0 ORDER BY o_orderkey) AS r FROM orders),
+cross_groups AS (
+  SELECT c, min(ord) FILTER (child) AS f, min(ord) FILTER (NOT child AND r = 2) AS o2 FROM cross_plan GROUP BY c),
+cross_slots AS (
+  SELECT ord, c, child, CASE
+      WHEN child THEN CASE WHEN o2 < f THEN r ELSE r - 1 END
+      WHEN r = 1 THEN 0
+      WHEN f < o2 THEN CASE WHEN c % 3 = 0 THEN r + 1 ELSE r END
+      WHEN r = 2 OR c % 3 <> 0 THEN r - 1 ELSE r END AS slot
+  FROM cross_plan JOIN cross_groups USING (c))"""
 
 
-@query("resolve_increment_unique", with_views("SELECT naive, count(*) AS inputs, count(*) AS outputs FROM cross_plan GROUP BY naive", _CROSS))
+@query(
+    "resolve_increment_unique",
+    with_views(
+        """SELECT ord, concat('/out/g', c, CASE WHEN child THEN '_1' ELSE '' END, CASE WHEN slot = 0 THEN '' ELSE concat('_', slot) END, '.png') AS output
+        FROM cross_slots""",
+        _CROSS,
+    ),
+)
 def resolve_increment_unique(spark, d):
-    """Names that cross groups: every input ends up with an output, and no output is given twice."""
+    """Names that cross groups, with a listing: the outputs of taking them one after the other in list order."""
     k, c = F.col("o_orderkey"), (F.col("o_custkey") % 5000).cast("string")
-    plan = v.table(spark, d, "orders").select(
-        k.alias("ord"), F.concat(F.lit("/out/g"), c, F.when(k % 4 == 0, "_1.png").otherwise(".png")).alias("naive")
-    )
-    none = v.existing_outputs(spark, d).filter("output IS NULL")
-    placed = nm.resolve_increment_all(plan, none)
-    unique = placed.groupBy("output").agg(F.min("naive").alias("naive"), F.count("*").alias("_n")).filter("_n = 1")
-    outputs = unique.groupBy("naive").agg(F.count("output").alias("outputs"))
-    return plan.groupBy("naive").agg(F.count("*").alias("inputs")).join(outputs, "naive")
+    orders = v.table(spark, d, "orders")
+    plan = orders.select(k.alias("ord"), F.concat(F.lit("/out/g"), c, F.when(k % 4 == 0, "_1.png").otherwise(".png")).alias("naive"))
+    listing = orders.filter("o_custkey % 5000 % 3 = 0").select(F.concat(F.lit("/out/g"), c, F.lit("_2.png")).alias("output")).distinct()
+    return nm.resolve_increment_all(plan, listing).select("ord", "output")
 
 
 @query(

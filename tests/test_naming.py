@@ -159,3 +159,42 @@ def test_suffixes(spark):
     assert text(tone.adjust_tag(F.lit(0), F.lit(0.0), F.lit(0.0), F.lit(1.8))) == "g1.80"
     assert text(tone.adjust_tag(F.lit(0), F.lit(0.0), F.lit(0.0), F.lit(1.0))) == "adj"
     assert text(pth.mask_output_path(F.lit("/p/cat.jpg"))) == "/p/cat_nobg.png"
+
+
+def in_list_order(inputs, listing, last=nm.LAST_SLOT):
+    """One after the other, each takes the first free output among its name and the numbered siblings."""
+    taken, out = set(listing), {}
+    for ord_, name in sorted(inputs):
+        stem, _, ext = name.rpartition(".")
+        choices = [name] + [f"{stem}_{s}.{ext}" for s in range(1, min(last, len(inputs) + len(listing) + 1) + 1)]
+        out[ord_] = next((c for c in choices if c not in taken), None)
+        taken.add(out[ord_])
+    return out
+
+
+@pytest.mark.parametrize(
+    "names,want",
+    [
+        (["a", "a", "a_1", "a_1_1"], ["a", "a_1", "a_1_1", "a_1_1_1"]),
+        (["a_1", "a", "a", "a"], ["a_1", "a", "a_2", "a_3"]),
+    ],
+)
+def test_names_are_taken_in_list_order(spark, names, want):
+    plan = [(i, f"{n}.png") for i, n in enumerate(names)]
+    got = values(nm.resolve_increment_all(spark.createDataFrame(plan, PLAN), spark.createDataFrame([], "output string")), "ord", "output")
+    assert got == {i: f"{n}.png" for i, n in enumerate(want)} == in_list_order(plan, [])
+
+
+def test_tangled_names_against_a_sequential_run(spark):
+    rng = random.Random(11)
+    stems = ["a", "a_1", "a_2", "a_1_1", "a_1_1_2", "b_1", "b", "c", "a_2_1"]
+    plan = [(k, f"/{rng.randint(0, 25)}/{rng.choice(stems)}.png") for k in range(700)]
+    listing = [f"/{rng.randint(0, 25)}/{rng.choice(stems)}.png" for _ in range(60)]
+    got = values(nm.resolve_increment_all(spark.createDataFrame(plan, PLAN), spark.createDataFrame([(o,) for o in listing], "output string")), "ord", "output")
+    assert got == in_list_order(plan, listing)
+
+
+def test_tangled_names_run_out(spark):
+    plan = [(k, "a.png") for k in range(8)] + [(20, "a_2.png"), (21, "a_2.png")]
+    got = values(nm.resolve_increment_all(spark.createDataFrame(plan, PLAN), spark.createDataFrame([], "output string"), last_slot=3), "ord", "output")
+    assert got == in_list_order(plan, [], last=3) and sum(v is None for v in got.values()) == 4

@@ -6,6 +6,7 @@ number of inputs, so nothing here groups a name's inputs in one task without a b
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage
@@ -96,31 +97,74 @@ def slot_name(naive, slot):
     return F.when(F.col(slot) == 0, F.col(naive)).when(F.col(slot) > 0, numbered)
 
 
-def resolve_increment_all(plan: DataFrame, existing: DataFrame, rounds: int = 8, lanes: int = 256) -> DataFrame:
-    """``output`` for every plan row, also when one name's numbered sibling is another input's name.
-
-    Where an assigned name comes out twice, the lowest ``ord`` keeps it and the others try again with
-    everything assigned so far counted as taken. After ``rounds`` attempts ``output`` stays null,
-    which callers report as a failure. ``existing`` has one column, ``output``.
+def _name_table(plan: DataFrame) -> DataFrame:
+    """``naive, first, parent, number``: every name asked for, its first row, and the name of which it is a numbered sibling."""
+    numbered = F.col("naive").rlike(NUMBERED)
+    parent = F.concat(F.regexp_extract("naive", NUMBERED, 1), F.regexp_extract("naive", NUMBERED, 3))
+    names = plan.filter("naive IS NOT NULL").groupBy("naive").agg(F.min("ord").alias("first")).select(
+        "naive", "first", F.when(numbered, parent).alias("parent"), F.when(numbered, F.regexp_extract("naive", NUMBERED, 2).cast("int")).alias("number")
+    )
+    # A parent that nobody asks for takes no slots.
+    asked = names.select(F.col("naive").alias("_asked"))
+    known = names.join(asked, F.col("parent") == F.col("_asked"), "left")
+    return known.select("naive", "first", F.col("_asked").alias("parent"), F.when(F.col("_asked").isNotNull(), F.col("number")).alias("number"))
+
+
+def _in_turn(last_slot: int):
+    """Slots of one name in list order: a slot is gone if it is listed, or asked for as a name by an earlier row."""
+
+    def place(rows: pd.DataFrame) -> pd.DataFrame:
+        blocks, inputs = rows[rows["slot"].notna()], rows[rows["slot"].isna()].sort_values("ord")
+        gone = {int(s): (None if pd.isna(o) else int(o)) for s, o in zip(blocks["slot"], blocks["ord"]) if pd.notna(o)}
+        gone |= {int(s): None for s, o in zip(blocks["slot"], blocks["ord"]) if pd.isna(o)}
+        slot, slots = 0, []
+        for o in inputs["ord"]:
+            while slot <= last_slot and slot in gone and (gone[slot] is None or gone[slot] < o):
+                slot += 1
+            slots.append(slot if slot <= last_slot else None)
+            slot += slot <= last_slot
+        return pd.DataFrame({"ord": inputs["ord"].astype("int64"), "naive": inputs["naive"], "slot": pd.array(slots, "Int64")})
+
+    return place
+
+
+def resolve_increment_all(plan: DataFrame, existing: DataFrame, lanes: int = 256, last_slot: int = LAST_SLOT) -> DataFrame:
+    """``output`` for every plan row, as if the rows took their names one after the other in order of ``ord``.
+
+    A row takes the first free output among its name and the numbered siblings; one that finds all
+    ``last_slot + 1`` taken gets null. ``existing`` has one column, ``output``. Names that are another name's
+    numbered sibling compete with it: slot n of ``name`` goes to ``name_n`` exactly if the first row that asks
+    for that is earlier than the row of ``name`` whose turn it would be. So names without such relations are
+    placed at once, the others parents before children. Of a name, only rows among the first
+    ``last_slot + 1`` of their lane can get a slot, which bounds what meets in one task.
     """
-    names = existing.select("output")
-    pending, done = plan.select("ord", "naive"), None
-    for attempt in range(rounds):
-        taken = taken_slots(names)
-        if attempt:  # few inputs are left, so only what concerns their names is looked at
-            taken = taken.join(pending.select("naive").distinct(), "naive", "left_semi")
-        placed = resolve_increment(pending, taken, lanes)
-        placed = placed.withColumn("output", slot_name("naive", "slot"))
-        keepers = placed.filter("output IS NOT NULL").groupBy("output").agg(F.min("ord").alias("ord"))
-        marked = placed.join(keepers.select("ord", F.lit(True).alias("_keep")), "ord", "left")
-        # Both halves are read again below, so this round's result is written once.
-        marked = cut_lineage(marked)
-        settled = marked.filter("_keep OR output IS NULL").select("ord", "output")
-        done = settled if done is None else done.unionByName(settled)
-        pending = marked.filter("_keep IS NULL AND output IS NOT NULL").select("ord", "naive")
-        if pending.isEmpty():
+    names = cut_lineage(_name_table(plan))
+    related = names.filter("parent IS NOT NULL").select("naive").union(names.filter("parent IS NOT NULL").select(F.col("parent").alias("naive"))).distinct()
+    taken = taken_slots(existing.select("output")).filter(F.col("slot").between(0, last_slot)).distinct()
+    rows = plan.select("ord", "naive")
+    plain = resolve_increment(rows.join(related, "naive", "left_anti"), taken.join(related, "naive", "left_anti"), lanes, last_slot)
+    placed = [plain.select("ord", "naive", F.col("slot").cast("bigint").alias("slot"))]
+    local = F.row_number().over(Window.partitionBy("naive", F.pmod(F.xxhash64("ord"), F.lit(lanes))).orderBy("ord"))
+    tangled = cut_lineage(rows.join(related, "naive", "left_semi").withColumn("_local", local).filter(F.col("_local") <= last_slot + 1).select("ord", "naive"))
+    level = names.filter("parent IS NULL").join(related, "naive", "left_semi")
+    lost = tangled.select("naive").limit(0)
+    while True:
+        level = cut_lineage(level)
+        if level.isEmpty():
             break
-        names = names.unionByName(settled.filter("output IS NOT NULL").select("output"))
-    else:
-        done = done.unionByName(pending.select("ord", F.lit(None).cast("string").alias("output")))
-    return plan.join(done, "ord")
+        here, children = level.select("naive"), names.join(level.select(F.col("naive").alias("parent")), "parent", "left_semi")
+        always = taken.join(here, "naive", "left_semi").select("naive", "slot").union(lost.select("naive", F.lit(0)))
+        rivals = children.select(F.col("parent").alias("naive"), F.col("number").alias("slot"), F.col("first").alias("ord"))
+        blocks = always.withColumn("ord", F.lit(None).cast("bigint")).unionByName(rivals)
+        wanted = tangled.join(here, "naive", "left_semi").withColumn("slot", F.lit(None).cast("int"))
+        turns = wanted.select("naive", "slot", F.col("ord").cast("bigint").alias("ord")).unionByName(blocks)
+        result = cut_lineage(turns.groupBy("naive").applyInPandas(_in_turn(last_slot), "ord bigint, naive string, slot bigint"))
+        placed.append(result)
+        held = result.select(F.col("naive").alias("parent"), F.col("slot").cast("int").alias("number"))
+        lost = children.join(held, ["parent", "number"], "left_semi").select("naive")
+        level = children
+    every = placed[0]
+    for part in placed[1:]:
+        every = every.unionByName(part)
+    every = every.filter("slot IS NOT NULL").select("ord", slot_name("naive", "slot").alias("output"))
+    return plan.join(every, "ord", "left")
