@@ -34,6 +34,8 @@ from .tokens import Texts, chunks, lower, mix, shingles
 HOT, HOT_MOST = 24, 1 << 20
 #: Shingles a task counts at a time, pivots of a crowded region, slots of the sieve of documents to compare.
 COUNT_AT_ONCE, PIVOTS, SIEVE = 4_000_000, 4, 1 << 20
+#: Rounds in which the small classes of a crowded region get new pivots, before what is left is joined pair by pair.
+WAVES = 1
 
 
 def _sets(column, k: int):
@@ -150,13 +152,22 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray) -> D
     return docs.select("text").mapInArrow(run, "s bigint, node bigint, n int, i int, h int, common boolean")
 
 
-def _pairs(left: DataFrame, right: DataFrame, num: int, den: int, *more) -> DataFrame:
+def _first(n: str, num: int, den: int):
+    """How many first shingles a set of ``n`` is found by: ``n - ceil(t * n) + 1``."""
+    return F.col(n).cast("long") - F.floor((F.col(n).cast("long") * num + den - 1) / den) + 1
+
+
+def _pairs(left: DataFrame, right: DataFrame, num: int, den: int, hot: bool, *more) -> DataFrame:
     """Pairs of different nodes (``x < y``) of one region within the windows, with the sizes and common counts of both."""
     a, b = left.select(*[F.col(c).alias("l_" + c) for c in left.columns]), right.select(*[F.col(c).alias("r_" + c) for c in right.columns])
     n1, n2, i1, i2 = (F.col(c).cast("long") for c in ("l_n", "r_n", "l_i", "r_i"))
     most = F.least(i1, i2) + F.least(n1 - i1, n2 - i2)
     joined = a.join(b.hint("shuffle_hash"), (F.col("l_s") == F.col("r_s")) & (F.col("l_node") != F.col("r_node")))
     joined = joined.where((num + den) * most >= num * (n1 + n2))
+    if hot:
+        # A set with a common shingle among its first ones has all its rare ones there; pairs that share a rare one are found by it.
+        rest = F.least(n1 - (_first("l_n", num, den) - F.col("l_h")), n2 - (_first("r_n", num, den) - F.col("r_h")))
+        joined = joined.where((num + den) * rest >= num * (n1 + n2))
     for condition in more:
         joined = joined.where(condition)
     flip = F.col("l_node") > F.col("r_node")
@@ -167,34 +178,32 @@ def _pairs(left: DataFrame, right: DataFrame, num: int, den: int, *more) -> Data
 
 
 def _likely(pairs: DataFrame, num: int, den: int, hot: bool) -> DataFrame:
-    """Pairs that share enough of their first shingles: ``x, y, nx, ny``. Unseen kinds of shingles count as shared."""
+    """Pairs that share enough of their first shingles: ``x, y, nx, ny``.
+
+    Where rare shingles were counted, common ones count as shared; where common ones were, no rare one is.
+    """
     counted = pairs.groupBy("x", "y").agg(F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.first("hx").alias("hx"), F.first("hy").alias("hy"), F.count("*").alias("c"))
-    least = lambda n: F.floor((F.col(n).cast("long") * num + den - 1) / den).cast("long")  # noqa: E731  ceil(t * n)
-    size = lambda n: F.col(n) - least(n) + 1
-    unseen = F.least(size("nx") - F.col("hx"), size("ny") - F.col("hy")) if hot else F.least("hx", "hy")
-    enough = F.col("c") + unseen + F.greatest(least("nx"), least("ny")) - 1
+    unseen = F.lit(0) if hot else F.least("hx", "hy")
+    rest = F.greatest(F.col("nx") - _first("nx", num, den), F.col("ny") - _first("ny", num, den))
+    enough = F.col("c") + unseen + rest
     return counted.where((num + den) * enough >= num * (F.col("nx") + F.col("ny")).cast("long")).select("x", "y", "nx", "ny")
 
 
-def _compare(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """``x, y`` of the pairs that are linked, by intersecting their sets.
+def _element_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+    """``node, rep, elements`` for the documents ``reps`` (``node, rep``) and some others.
 
-    Sets are computed again, for the documents that stand for a node of a pair: a sieve of ``SIEVE`` slots
-    lets them through (and by chance a few others, which the join drops).
+    Sets are computed again rather than kept from the start: a sieve of ``SIEVE`` slots by ``doc_id`` lets the
+    wanted documents through, and by chance a few more.
     """
-    spark = docs.sparkSession
-    wanted = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct().join(reps, "node").select("node", "rep")
-    wanted = _written(wanted)
-    slots = wanted.select(F.pmod(F.xxhash64("rep"), F.lit(SIEVE)).alias("slot")).distinct()
+    slots = reps.select(F.pmod(F.xxhash64("rep"), F.lit(SIEVE)).alias("slot")).distinct()
     sieve = np.zeros(SIEVE, bool)
     sieve[[r["slot"] for r in slots.collect()]] = True
-    shared = spark.sparkContext.broadcast(np.packbits(sieve))
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(sieve))
 
     def run(batches):
         open_ = np.unpackbits(shared.value).astype(bool)
         for b in batches:
-            slot = b.column(2).to_numpy(zero_copy_only=False)
-            chosen = np.flatnonzero(open_[slot])
+            chosen = np.flatnonzero(open_[b.column(2).to_numpy(zero_copy_only=False)])
             if not len(chosen):
                 continue
             part = b.take(pa.array(chosen))
@@ -204,12 +213,16 @@ def _compare(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: in
                     [part.column(0).slice(row, len(size)), pa.array(_node_ids(size, text, h)), pa.ListArray.from_arrays(pa.array(at), pa.array(h))], names=["rep", "node", "elements"]
                 )
 
-    kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("rep", kind), T.StructField("node", T.LongType()), T.StructField("elements", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("rep", docs.schema["doc_id"].dataType), T.StructField("node", T.LongType()), T.StructField("elements", T.ArrayType(T.LongType()))])
     texts = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE)).alias("slot"))
-    sets = _written(texts.mapInArrow(run, schema)).join(wanted, ["node", "rep"]).select("node", "elements")
-    one, two = sets.toDF("x", "ex"), sets.toDF("y", "ey")
-    both = pairs.join(one, "x").join(two, "y")
+    return _written(texts.mapInArrow(run, schema))
+
+
+def _compare(pairs: DataFrame, sets: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """``x, y`` of the pairs that are linked, by intersecting their sets."""
+    named = pairs.join(reps.toDF("x", "rx"), "x").join(reps.toDF("y", "ry"), "y")
+    both = named.join(sets.select(F.col("node").alias("x"), F.col("rep").alias("rx"), F.col("elements").alias("ex")), ["x", "rx"])
+    both = both.join(sets.select(F.col("node").alias("y"), F.col("rep").alias("ry"), F.col("elements").alias("ey")), ["y", "ry"])
     common = F.size(F.array_intersect("ex", "ey")).cast("long")
     return both.where(den * common >= num * (F.col("nx") + F.col("ny") - common)).select("x", "y").distinct()
 
@@ -238,28 +251,44 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+def _open_regions(hot: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of the crowded regions that hold several classes: ``label``, and ``minor`` outside the largest class."""
+    placed = hot.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = placed.groupBy("s", "label").agg(F.count("*").alias("c")).groupBy("s").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("parts"))
+    open_ = placed.join(sizes.where("parts > 1"), "s")
+    return _written(open_.select(*hot.columns, "label", (F.col("label") != F.col("main")).alias("minor")))
+
+
+def _pivots(members: DataFrame, num: int, den: int) -> DataFrame:
+    """``s, node``: pivots of each region. First those with the fewest rare shingles, which are nearest to what all share."""
+    rare = _first("n", num, den) - F.col("h")
+    orders = [F.struct(rare, F.xxhash64("node", F.lit(r))) if r % 2 == 0 else F.xxhash64("node", F.lit(r)) for r in range(PIVOTS)]
+    chosen = members.groupBy("s").agg(*[F.min_by("node", o).alias(f"p{r}") for r, o in enumerate(orders)])
+    return chosen.select("s", F.explode(F.array_distinct(F.array(*[f"p{r}" for r in range(PIVOTS)]))).alias("node"))
+
+
 def _links(docs: DataFrame, first: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links of different nodes, enough of them to connect every class."""
     cold = first.where("not common").drop("common").repartition("s").dropDuplicates(["s", "node"])
-    likely = _likely(_pairs(cold, cold, num, den, F.col("l_node") < F.col("r_node")), num, den, False)
+    likely = _likely(_pairs(cold, cold, num, den, False, F.col("l_node") < F.col("r_node")), num, den, False)
     hot = _written(first.where("common").drop("common").dropDuplicates(["s", "node"]))
-    chosen = [F.min_by("node", F.xxhash64("node", F.lit(r))).alias(f"p{r}") for r in range(PIVOTS)]
-    pivots = hot.groupBy("s").agg(*chosen).select("s", F.explode(F.array_distinct(F.array(*[f"p{r}" for r in range(PIVOTS)]))).alias("node"))
-    measured = _pairs(hot, hot.join(pivots, ["s", "node"]).select(*hot.columns), num, den)
-    wave = _written(likely.unionByName(measured.drop("hx", "hy", "s").distinct()).distinct())
-    links = _written(_compare(wave, docs, reps, k, num, den))
-    if hot.isEmpty():
-        return links
-    classes = components(links)
-    placed = hot.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sizes = placed.groupBy("s", "label").agg(F.count("*").alias("c")).groupBy("s").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("parts"))
-    open_ = placed.join(sizes.where("parts > 1"), "s")
-    members = _written(open_.select(*hot.columns, "label", (F.col("label") != F.col("main")).alias("minor")))
-    missing = _pairs(members.where("minor"), members, num, den, F.col("l_label") != F.col("r_label")).distinct()
-    rest = _written(_likely(missing, num, den, True).join(wave, ["x", "y"], "left_anti"))
-    if rest.isEmpty():
-        return links
-    return links.union(_compare(rest, docs, reps, k, num, den))
+    measured = _pairs(hot, hot.join(_pivots(hot, num, den), ["s", "node"]).select(*hot.columns), num, den, True)
+    wave = _written(likely.unionByName(measured.select("x", "y", "nx", "ny").distinct()).distinct())
+    wanted = wave.select(F.col("x").alias("node")).union(wave.select("y")).union(hot.select("node")).distinct()
+    wanted = _written(reps.join(wanted, "node", "left_semi"))
+    sets = _element_sets(docs, wanted, k)
+    links = _written(_compare(wave, sets, wanted, num, den))
+    for _ in range(WAVES):
+        members = _open_regions(hot, links)
+        if members.isEmpty():
+            return links
+        middle = members.join(_pivots(members.where("minor"), num, den), ["s", "node"], "left_semi")
+        measured = _pairs(members, middle.select(*members.columns), num, den, True, F.col("l_label") != F.col("r_label"))
+        found = _compare(measured.select("x", "y", "nx", "ny").distinct(), sets, wanted, num, den)
+        links = _written(links.union(found))
+    members = _open_regions(hot, links)
+    missing = _pairs(members.where("minor"), members, num, den, True, F.col("l_label") != F.col("r_label")).distinct()
+    return links.union(_compare(_likely(missing, num, den, True), sets, wanted, num, den))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
