@@ -28,3 +28,11 @@ def words_of(text):
 def lower_ascii(text):
     """A-Z to a-z, every other character as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def lowest(rows: DataFrame, key, n: int) -> DataFrame:
+    """About the ``n`` rows with the smallest ``key`` (ties at the edge all stay). Only keys are compared across tasks."""
+    (name,) = fresh(rows, "sample_key")
+    keyed = rows.withColumn(name, key)
+    edge = keyed.select(name).orderBy(name).limit(n).agg(F.max(name)).first()[0]
+    return keyed.where(F.lit(False) if edge is None else F.col(name) <= edge).drop(name)

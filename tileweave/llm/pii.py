@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .frames import lowest
+
 KINDS = ("email", "ip", "card", "phone")
 #: Bounds of the training sample: documents, and characters of one (longer ones are labelled, not trained on).
 TRAIN_DOCS, TRAIN_CHARS = 1500, 12_000
@@ -214,14 +216,22 @@ def train(texts: list[str], steps: int = 300, rate: float = 0.5) -> Field:
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> list[tuple[int, int, int]]:
-    """Spans of the words that only the field labels; neighbours with one label are one span."""
+    """Spans of the words that only the field labels; neighbours with one label are one span.
+
+    A word counts if skip edges tie it to one that a pattern found: shape alone is no evidence.
+    """
     nodes = nodes_of(text, base)
     if not nodes.text or not nodes.label.any():
         return []
+    tied, skip = nodes.label > 0, edges_of(nodes)[1]
+    for a, b in [*skip, *skip[::-1]]:
+        tied[a] = tied[b] = tied[a] or tied[b]
+    if (tied == (nodes.label > 0)).all():
+        return []
     sure = field.marginals(nodes)
     label = np.where(sure.max(axis=1) >= CONFIDENCE, sure.argmax(axis=1), 0)
     out = []
-    for i in np.flatnonzero((label > 0) & (nodes.label == 0)):
+    for i in np.flatnonzero((label > 0) & (nodes.label == 0) & tied):
         joins = out and out[-1][3] == i - 1 and label[i - 1] == label[i] and nodes.ordinal[i] == nodes.ordinal[i - 1] + 1
         if joins:
             out[-1] = (out[-1][0], out[-1][1], nodes.end[i], i)
@@ -237,8 +247,9 @@ def spell(spans) -> str:
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> Field:
     """Trains on the ``train_docs`` documents with a digit or ``@`` whose texts hash lowest."""
-    rows = docs.where(F.length("text") <= chars).where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("h"), "text")
-    return train([r["text"] for r in rows.orderBy("h", "text").limit(train_docs).collect()])
+    rows = docs.where(F.length("text") <= chars).where(F.col("text").rlike("[0-9@]")).select("text")
+    picked = lowest(rows, F.xxhash64("text"), train_docs).distinct().collect()
+    return train(sorted(r["text"] for r in picked))
 
 
 def find(docs: DataFrame, field: Field) -> DataFrame:

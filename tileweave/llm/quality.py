@@ -33,6 +33,8 @@ LOGS = ("n_words", "n_distinct")
 PRIOR_WORDS, FLOOR = 60.0, 0.12
 #: Concentration: share of a group that defines the usual, steps, smallest group, width of histogram bins.
 COVERAGE, STEPS, MIN_GROUP, BIN = 0.75, 4, 200, 0.005
+#: With fewer texts than this in the last pool nothing is unusual.
+LEAST_GROUP = 40
 #: Square of the Mahalanobis distance above which a text is rejected.
 CUT = 90.0
 
@@ -110,11 +112,11 @@ def _grouped(rows: DataFrame) -> DataFrame:
 
 
 def _level(rows: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
-    """``keys, level``: the bin (``floor(value / BIN)``) in which the share of the rows of a group is reached."""
+    """``keys, level, rows``: the bin (``floor(value / BIN)``) in which the share of a group's rows is reached, and their number."""
     bins = rows.groupBy(*keys, F.floor(F.col(value) / BIN).alias("bin")).agg(F.count("*").alias("n"))
     so_far = Window.partitionBy(*keys).orderBy("bin")
     run = bins.select(*keys, "bin", F.sum("n").over(so_far).alias("run"), F.sum("n").over(Window.partitionBy(*keys)).alias("all"))
-    return run.where(F.col("run") >= F.ceil(F.col("all") * share)).groupBy(*keys).agg(F.min("bin").alias("level"))
+    return run.where(F.col("run") >= F.ceil(F.col("all") * share)).groupBy(*keys).agg(F.min("bin").alias("level"), F.max("all").alias("rows"))
 
 
 def _start(fit: DataFrame, xs: list[str]) -> DataFrame:
@@ -142,7 +144,7 @@ def _with_distance(rows: DataFrame, model: DataFrame, xs: list[str]) -> DataFram
 def _concentrate(fit: DataFrame, model: DataFrame, xs: list[str]) -> DataFrame:
     """One concentration step: location and inverse scatter of the closest ``COVERAGE`` of each group."""
     p, near = len(xs), _with_distance(fit, model, xs)
-    near = near.join(_level(near, ["grp"], "log_d2", COVERAGE), "grp").where(F.floor(F.col("log_d2") / BIN) <= F.col("level"))
+    near = near.join(_level(near, ["grp"], "log_d2", COVERAGE).drop("rows"), "grp").where(F.floor(F.col("log_d2") / BIN) <= F.col("level"))
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     moments = near.groupBy("grp").agg(
         F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)], *[F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"q{i}_{j}") for i, j in pairs]
@@ -166,7 +168,7 @@ def judge(docs: DataFrame, cut: float = CUT, steps: int = STEPS) -> DataFrame:
     """The counts of every text with ``base_failed``, ``distance`` (squared, robust) and ``kept``.
 
     Texts that fail the base rules take no part in the estimates. Groups of fewer than ``MIN_GROUP`` other
-    texts are pooled. Distances are scaled so that a group's ``COVERAGE`` quantile is at most that of a normal
+    texts are pooled; pools of fewer than ``LEAST_GROUP`` reject nothing. Distances are scaled so that a group's ``COVERAGE`` quantile is at most that of a normal
     distribution. Null texts count as empty (and fail); null languages or sources are values of their own;
     repeated rows are judged alike, each counting; an empty table gives an empty result.
     """
@@ -179,7 +181,8 @@ def judge(docs: DataFrame, cut: float = CUT, steps: int = STEPS) -> DataFrame:
     p, z = len(xs), NormalDist().inv_cdf(COVERAGE)
     normal = p * (1 - 2 / (9 * p) + z * math.sqrt(2 / (9 * p))) ** 3
     level = _level(_with_distance(fit, model, xs), ["grp"], "log_d2", COVERAGE)
-    scale = cut_lineage(level.select("grp", F.least(F.lit(normal) / F.exp((F.col("level") + 0.5) * BIN), F.lit(1.0)).alias("scale")))
+    factor = F.least(F.lit(normal) / F.exp((F.col("level") + 0.5) * BIN), F.lit(1.0))
+    scale = cut_lineage(level.select("grp", F.when(F.col("rows") >= LEAST_GROUP, factor).otherwise(0.0).alias("scale")))
     judged = _with_distance(rows, model, xs).join(scale, "grp", "left")
     distance = F.round(F.coalesce(F.col("d2") * F.col("scale"), F.lit(0.0)), 4)
     return judged.select(

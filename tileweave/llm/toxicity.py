@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .frames import lowest
 from .tokens import Texts, chunks, lower, mix
 
 #: Bounds of the training sample: rows of each class, and characters of a row (longer rows are scored, not trained on).
@@ -44,7 +45,7 @@ class Words:
 
     def __init__(self, texts: Texts):
         n, shift = texts.n, np.arange(texts.n) + 1
-        data = np.full(len(texts.data) + n + 1, 0x20, np.uint8)
+        data = np.full(len(texts.data) + n + 8, 0x20, np.uint8)
         owner = np.repeat(np.arange(n), np.diff(texts.at))
         data[np.arange(len(texts.data)) + owner + 1] = np.where(texts.white, 0x20, lower(texts.data))
         self.data = data
@@ -204,8 +205,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, positive: int = TRAIN_POSI
     rows = docs.where(F.length("text") <= chars).where(~held_out(F.col("doc_id"))).select("doc_id", "text").join(known, "doc_id")
     picked = []
     for label, most in ((1, positive), (0, negative)):
-        part = rows.where(F.col("toxic") == label).select(F.xxhash64("doc_id").alias("h"), "doc_id", "text")
-        picked += [(r["text"], label) for r in part.orderBy("h", "doc_id", "text").limit(most).collect()]
+        part = lowest(rows.where(F.col("toxic") == label).select("doc_id", "text"), F.xxhash64("doc_id"), most)
+        picked += [(text, label) for _, text in sorted((r["doc_id"], r["text"]) for r in part.collect())]
     return [t for t, _ in picked], [y for _, y in picked]
 
 
