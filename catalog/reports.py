@@ -232,7 +232,7 @@ def admission_report(spark, d):
     ),
 )
 def frame_plan(spark, d):
-    return fr.frame_plan(v.frames(spark, d), block_size=4096).withColumnRenamed("delay_ms", "delay")
+    return fr.frame_plan(v.frames(spark, d)).withColumnRenamed("delay_ms", "delay")
 
 
 @query(

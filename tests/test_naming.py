@@ -97,7 +97,7 @@ def test_rank_of_a_hot_key_and_ties(spark):
         mine = sorted((r[2], r[0]) for r in rows if r[1] == key)
         for place, (_, ord_) in enumerate(mine, 1):
             assert got[ord_] == (place, len(mine))
-    small = values(od.increment_rank(df.withColumnRenamed("job_id", "naive"), block_size=10), "ord", "increment_rank")
+    small = values(od.increment_rank(df.withColumnRenamed("job_id", "naive"), blocks=10), "ord", "increment_rank")
     for key in {r[1] for r in rows}:
         for place, ord_ in enumerate(sorted(r[0] for r in rows if r[1] == key), 1):
             assert small[ord_] == place

@@ -204,8 +204,8 @@ def test_frames(spark):
         [(1, 10, 60, 40, 5), (1, 20, 120, 80, 50), (1, 30, 30, 20, 100), (2, 1, 16, 16, 20)],
         "anim_id int, seq bigint, width int, height int, delay_ms int",
     )
-    for size in (1, 15, 1000):
-        rows = fr.frame_plan(frames, block_size=size).orderBy("anim_id", "seq").collect()
+    for blocks in (1, 3, None):
+        rows = fr.frame_plan(frames, blocks=blocks).orderBy("anim_id", "seq").collect()
         got = [(r.frame_no, r.delay_ms, r.start_ms, r.canvas_width, r.canvas_height, r.scaled_width, r.scaled_height, r.dx, r.dy) for r in rows]
         assert got == [
             (1, 10, 0, 60, 40, 60, 40, 0, 0), (2, 50, 10, 60, 40, 60, 40, 0, 0), (3, 100, 60, 60, 40, 30, 20, 15, 10),

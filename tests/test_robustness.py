@@ -144,3 +144,29 @@ def test_workers_import_the_package_from_anywhere(tmp_path):
     )
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=180, env={k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"})
     assert "rows 0" in done.stdout, done.stderr[-800:]
+
+
+def test_ranks_and_frames_with_sparse_ids_and_a_hot_key(spark):
+    from tileweave.operators import frames, ordering
+
+    rows = spark.range(3000).select(F.abs(F.xxhash64("id")).alias("ord"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("naive"))
+    got = {r.ord: r.increment_rank for r in ordering.increment_rank(rows).filter("naive = 'hot'").collect()}
+    assert [got[o] for o in sorted(got)] == list(range(1, 2001))
+    shots = rows.select(F.when(F.col("naive") == "hot", 1).otherwise(2).alias("anim_id"), F.col("ord").alias("seq"), F.lit(4).alias("width"), F.lit(3).alias("height"), F.lit(20).alias("delay_ms"))
+    plan = frames.frame_plan(shots).filter("anim_id = 1").orderBy("seq").collect()
+    assert [p.frame_no for p in plan] == list(range(1, 2001)) and [p.start_ms for p in plan] == [20 * k for k in range(2000)]
+
+
+def test_stream_folders_are_compacted(spark, tmp_path, monkeypatch):
+    from tileweave.streaming import progress
+
+    monkeypatch.setattr(progress, "COMPACT", 2)
+    schema = "job_id bigint, ord bigint, finished_at timestamp, status string, bytes_in bigint, bytes_out bigint, error string"
+    for k in range(5):
+        row = spark.createDataFrame([(k % 2, k, None, "written", 10, 5, None)], schema).withColumn("finished_at", F.timestamp_seconds(F.lit(1000 + k)))
+        row.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = progress.write_summary(progress.stream_summary(stream), str(tmp_path / "out"), str(tmp_path / "state"), availableNow=True)
+    query.awaitTermination()
+    assert sum(r.done for r in progress.latest_summary(spark, str(tmp_path / "out")).collect()) == 5
+    assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("batch=")]) <= 3

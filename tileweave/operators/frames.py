@@ -6,21 +6,21 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geometry import letterbox
 from ..functions.numeric import as_col
-from .ordering import width_block, with_range_blocks
+from .ordering import with_range_blocks
 
 # Shortest frame delay, quantiser speed range.
 MIN_DELAY_MS = 10
 SPEED_RANGE = (1, 30)
 
 
-def frame_plan(frames: DataFrame, anim_id: str = "anim_id", seq: str = "seq", block_size: int = 1 << 16) -> DataFrame:
+def frame_plan(frames: DataFrame, anim_id: str = "anim_id", seq: str = "seq", blocks: int | None = None) -> DataFrame:
     """Frame number, canvas, start time and letterbox of every frame.
 
     The first frame's size is the canvas of the whole animation; delays are at least 10 ms; a frame
-    starts when all earlier delays have passed.
+    starts when all earlier delays have passed. Blocks are ranges of the data, however its numbers are spaced.
     """
     delay = F.greatest(F.col("delay_ms"), F.lit(MIN_DELAY_MS)).cast("bigint")
-    blocked = frames.withColumn("delay_ms", delay).withColumn("_block", width_block(seq, block_size))
+    blocked = with_range_blocks(frames.withColumn("delay_ms", delay), [anim_id, seq], blocks, "_block")
     inside = Window.partitionBy(anim_id, "_block").orderBy(seq)
     running = inside.rowsBetween(Window.unboundedPreceding, -1)
     local = blocked.withColumns(
@@ -33,15 +33,15 @@ def frame_plan(frames: DataFrame, anim_id: str = "anim_id", seq: str = "seq", bl
         F.min_by(F.col("width").cast("bigint"), F.col(seq)).alias("_cw"),
         F.min_by(F.col("height").cast("bigint"), F.col(seq)).alias("_ch"),
     )
-    blocks = Window.partitionBy(anim_id).orderBy("_block")
-    earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
+    in_order = Window.partitionBy(anim_id).orderBy("_block")
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
     per_block = heads.select(
         anim_id,
         "_block",
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n_before"),
         F.coalesce(F.sum("_ms").over(earlier), F.lit(0)).alias("_ms_before"),
-        F.first("_cw").over(blocks).alias("canvas_width"),
-        F.first("_ch").over(blocks).alias("canvas_height"),
+        F.first("_cw").over(in_order).alias("canvas_width"),
+        F.first("_ch").over(in_order).alias("canvas_height"),
     )
     joined = local.join(per_block, [anim_id, "_block"])
     box = letterbox("width", "height", "canvas_width", "canvas_height")

@@ -9,15 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.numeric import as_col
 from ..session import cut_lineage
 
 
-def width_block(order, size: int) -> Column:
-    """Block of an integer order column. With unique values a block holds at most ``size`` rows."""
-    return F.floor(as_col(order) / F.lit(size)).cast("bigint")
-
-
 def with_range_blocks(df: DataFrame, order: list[str], blocks: int | None = None, name: str = "block") -> DataFrame:
     """Adds a block id for any order, composite ones included: the range partition a row falls in.
 
@@ -57,9 +51,12 @@ def rank_in_blocks(
     return out.drop("_local", "n_before", "n_total")
 
 
-def increment_rank(plan: DataFrame, naive: str = "naive", ord_: str = "ord", block_size: int = 1 << 20) -> DataFrame:
-    """Rank of each input among those that ask for the same output name."""
-    blocked = plan.withColumn("_block", width_block(ord_, block_size))
+def increment_rank(plan: DataFrame, naive: str = "naive", ord_: str = "ord", blocks: int | None = None) -> DataFrame:
+    """Rank of each input among those that ask for the same output name.
+
+    Blocks are ranges of the data, so ids may be sparse, and a name asked for by very many rows has many blocks.
+    """
+    blocked = with_range_blocks(plan, [naive, ord_], blocks, "_block")
     return rank_in_blocks(blocked, [naive], "_block", [ord_], rank="increment_rank").drop("_block")
 
 

@@ -47,10 +47,8 @@ def mask_images(
     """Pixels with the model's mask as alpha. ``px`` is read three times: give a table or a checkpoint."""
     squares = from_pixels(resample(px, side, side), alpha=False)
     masks = predict_masks(squares, open_session, predict)
-    extents = px.filter((F.col("x") == 0) & (F.col("y") == 0)).select(
-        "image_id", F.col("width").alias("_width"), F.col("height").alias("_height")
-    )
+    extents = px.groupBy("image_id").agg(F.max("width").alias("_width"), F.max("height").alias("_height"))
     small = to_pixels(masks).join(extents, "image_id")
     # A gray raster has its value in every channel. It is a byte already, so it is alpha as it stands.
     grown = resample(small, F.col("_width"), F.col("_height")).select("image_id", "x", "y", F.col("r").alias("a"))
-    return px.drop("a").join(grown, ["image_id", "x", "y"]).select(*px.columns)
+    return px.drop("a").join(grown.hint("merge"), ["image_id", "x", "y"]).select(*px.columns)

@@ -8,15 +8,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.stats import batch_summary
-from ..session import shared_dir
+from ..session import cut_lineage, shared_dir
 
+#: Micro-batches after which their folders are folded into one.
+COMPACT = 100
 
-def stream_summary(outcomes: DataFrame, watermark: str | None = None) -> DataFrame:
+
+def stream_summary(outcomes: DataFrame, watermark: str | None = "1 day") -> DataFrame:
     """ok, skip, fail, bytes and done per job; a repeated ``(job_id, ord)`` counts once.
 
-    Without a watermark every id is remembered, which is right for a finite backlog in any order.
-    For an endless stream pass how late a repetition may come (by ``finished_at``), and the
-    remembered ids stay bounded; rows later than that no longer count.
+    ``watermark``: how late a row or its repetition may come (by ``finished_at``); ids are remembered that
+    long, later rows no longer count. None remembers every id, which is right for a finite backlog in any order.
     """
     if watermark:
         unique = outcomes.withWatermark("finished_at", watermark).dropDuplicatesWithinWatermark(["job_id", "ord"])
@@ -27,10 +29,23 @@ def stream_summary(outcomes: DataFrame, watermark: str | None = None) -> DataFra
 
 
 def write_summary(summary: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Writes each micro-batch's changed totals under ``path/batch=N``; a repeated batch overwrites itself."""
+    """Writes each micro-batch's changed totals under ``path/batch=N``; a repeated batch overwrites itself.
+
+    Every ``COMPACT`` batches the current totals are written as one batch and the older folders go.
+    """
 
     def publish(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        if batch and batch % COMPACT == 0:
+            spark = changed.sparkSession
+            values = [c for c in changed.columns if c != "job_id"]
+            cut_lineage(latest_summary(spark, path)).select("job_id", *values).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+            root = spark._jvm.org.apache.hadoop.fs.Path(path)
+            store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+            for entry in store.listStatus(root):
+                name = entry.getPath().getName()
+                if name.startswith("batch=") and int(name[6:]) < batch:
+                    store.delete(entry.getPath(), True)
 
     writer = summary.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
     return writer.foreachBatch(publish).trigger(**trigger).start()
