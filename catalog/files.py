@@ -11,7 +11,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from tileweave.operators import pixels as pz, stats
-from tileweave.plans.conversion import run_conversion
+from tileweave.functions.validation import validate_adjust, validate_crop, validate_resize_percent
+from tileweave.plans.conversion import run_conversion, run_operation
 from tileweave.session import shared_dir
 from tileweave.sources import exif, files as fl, sinks
 
@@ -206,6 +207,11 @@ def exif_tags(spark, d):
 )
 def conversion(spark, d):
     """A whole batch: sniff, header sizes, caps, names, skips, then a user encoder over what is left."""
+    files, existing = _batch(spark, d, "jpg")
+    return _outcome(run_conversion(files, existing, "jpeg", lambda path, content, output: len(content) // 3, read_by_path=False))
+
+
+def _batch(spark, d, listed_ext):
     k = F.col("doc_id")
     side = F.when(k % 4 == 1, "00010000").otherwise("00000040")
     header = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), side, side)
@@ -215,10 +221,70 @@ def conversion(spark, d):
         F.concat(F.unhex(header), F.col("text").cast("binary")).alias("content"),
     ).withColumn("length", F.length("content").cast("bigint"))
     existing = v.table(spark, d, "documents").filter("(doc_id % 300) % 10 = 0").select(
-        F.concat(F.lit("/in/"), (k % 300).cast("string"), F.lit(".jpg")).alias("output")
+        F.concat(F.lit("/in/"), (k % 300).cast("string"), F.lit(f".{listed_ext}")).alias("output")
     )
-    out = run_conversion(files, existing, "jpeg", lambda path, content, output: len(content) // 3, read_by_path=False)
+    return files, existing
+
+
+def _outcome(out):
     return out.select(
         "ord", "input", "status", F.coalesce("error", F.lit("-")).alias("error"), "bytes_in",
         F.coalesce("bytes_out", F.lit(-1)).alias("bytes_out"),
     )
+
+
+# The same batch under other operations: checks in their own order, the source's format kept.
+_OPERATION = """WITH named AS (SELECT doc_id, concat('/in/', doc_id % 300, CASE WHEN doc_id % 3 = 0 THEN '.gif' ELSE '.png' END) AS path,
+    CASE WHEN doc_id % 4 = 1 THEN 'too_many_pixels' END AS d_error, {params} AS p_error, (doc_id % 300) % 10 = 0 AS listed, octet_length(encode(text)) + 24 AS bytes_in FROM documents),
+  ranked AS (SELECT *, d_error IS NULL AND p_error IS NULL AS sound, row_number() OVER (PARTITION BY doc_id % 300, d_error IS NULL AND p_error IS NULL ORDER BY doc_id) AS r FROM named)
+SELECT doc_id AS ord, path AS input, CASE WHEN NOT sound THEN 'failed' WHEN listed OR r > 1 THEN 'skipped' ELSE 'written' END AS status,
+  coalesce({first}, {second}, '-') AS error, bytes_in, CASE WHEN sound AND NOT listed AND r = 1 THEN bytes_in // 3 ELSE -1 END AS bytes_out FROM ranked"""
+_CROP = "CASE WHEN doc_id % 80 = 0 THEN 'zero_size' WHEN doc_id % 4 <> 1 AND doc_id % 80 > 64 THEN 'outside_image' END"
+_BRIGHT = "CASE WHEN doc_id % 220 - 110 NOT BETWEEN -100 AND 100 THEN 'brightness_out_of_range' END"
+
+
+def _operated(spark, d, operation, suffix=None, params_error=None):
+    files, existing = _batch(spark, d, "png")
+    return _outcome(run_operation(operation, files, existing, lambda path, content, output: len(content) // 3, suffix=suffix, params_error=params_error, read_by_path=False))
+
+
+@query("run_rotate", _OPERATION.format(params="CAST(NULL AS VARCHAR)", first="d_error", second="p_error"))
+def run_rotate(spark, d):
+    return _operated(spark, d, "rotate")
+
+
+@query("run_flip", _OPERATION.format(params="CAST(NULL AS VARCHAR)", first="d_error", second="p_error"))
+def run_flip(spark, d):
+    return _operated(spark, d, "flip")
+
+
+@query("run_crop", _OPERATION.format(params=_CROP, first="d_error", second="p_error"))
+def run_crop(spark, d):
+    wide = (F.col("ord") % 80).cast("bigint")
+    return _operated(spark, d, "crop", params_error=validate_crop(F.lit(0), F.lit(0), wide, F.lit(10), "width", "height"))
+
+
+@query("run_adjust", _OPERATION.format(params=_BRIGHT, first="p_error", second="d_error"))
+def run_adjust(spark, d):
+    return _operated(spark, d, "adjust", params_error=validate_adjust((F.col("ord") % 220 - 110).cast("int"), F.lit(0.0), F.lit(0.0), F.lit(1.0)))
+
+
+@query("run_resize", _OPERATION.format(params="CASE WHEN doc_id % 9 = 0 THEN 'percent_out_of_range' END", first="d_error", second="p_error").replace(
+    "WHEN NOT sound THEN 'failed' WHEN listed OR r > 1 THEN 'skipped'", "WHEN d_error IS NOT NULL THEN 'failed' WHEN listed THEN 'skipped' WHEN NOT sound THEN 'failed' WHEN r > 1 THEN 'skipped'"
+).replace("coalesce(d_error, p_error, '-')", "CASE WHEN d_error IS NOT NULL THEN d_error WHEN listed THEN '-' ELSE coalesce(p_error, '-') END"))
+def run_resize(spark, d):
+    percent = F.when(F.col("ord") % 9 == 0, 0.0).otherwise(50.0)
+    return _operated(spark, d, "resize", params_error=validate_resize_percent("width", "height", percent))
+
+
+@query(
+    "run_conversion_replace",
+    """WITH named AS (SELECT doc_id, concat('/in/', doc_id % 300, CASE WHEN doc_id % 3 = 0 THEN '.gif' ELSE '.png' END) AS path, doc_id % 4 <> 1 AS sound,
+        octet_length(encode(text)) + 24 AS bytes_in FROM documents),
+      ranked AS (SELECT *, sound AND doc_id = max(doc_id) OVER (PARTITION BY doc_id % 300, sound) AS stays FROM named)
+    SELECT doc_id AS ord, path AS input, CASE WHEN NOT sound THEN 'failed' WHEN stays THEN 'written' ELSE 'skipped' END AS status,
+      CASE WHEN sound THEN '-' ELSE 'too_many_pixels' END AS error, bytes_in, CASE WHEN stays THEN bytes_in // 3 ELSE -1 END AS bytes_out FROM ranked""",
+)
+def conversion_replace(spark, d):
+    files, existing = _batch(spark, d, "jpg")
+    return _outcome(run_conversion(files, existing, "jpeg", lambda path, content, output: len(content) // 3, "replace", read_by_path=False))

@@ -170,3 +170,17 @@ def test_stream_folders_are_compacted(spark, tmp_path, monkeypatch):
     query.awaitTermination()
     assert sum(r.done for r in progress.latest_summary(spark, str(tmp_path / "out")).collect()) == 5
     assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("batch=")]) <= 3
+
+
+def test_a_failed_writer_hands_its_output_on(spark):
+    rows = [(1, "/in/x.png"), (2, "/in/x.gif"), (3, "/in/x.bmp"), (4, "/in/y.png"), (5, "/in/y.gif")]
+    files = spark.createDataFrame([(o, p, bytearray(png(2, 2, lambda x, y: (0, 0, 0)))) for o, p in rows], "ord bigint, path string, content binary")
+    files = files.withColumn("length", F.length("content").cast("bigint"))
+
+    def encode(path, content, output):
+        if path in ("/in/x.png", "/in/x.gif", "/in/y.png", "/in/y.gif"):
+            raise OSError("disk")
+        return 7
+
+    out = run_conversion(files, spark.createDataFrame([], "output string"), "jpeg", encode, output_dir="/out", read_by_path=False)
+    assert {r.ord: r.status for r in out.collect()} == {1: "failed", 2: "failed", 3: "written", 4: "failed", 5: "failed"}

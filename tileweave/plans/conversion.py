@@ -1,10 +1,10 @@
-"""A batch conversion from file listing to report, as one lazy plan around a user encoder."""
+"""A batch of one operation over many files, from listing to report, around a user encoder."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.paths import output_path
 from ..functions.validation import admit
@@ -17,9 +17,21 @@ from ..sources.formats import extension_of, sniff_format
 from ..sources.headers import with_dims
 
 
+#: Operations that keep the source's format unless told otherwise.
+KEEP_FORMAT = ("resize", "rotate", "flip", "crop", "adjust")
+
+
 def plan_conversion(
     files: DataFrame, existing: DataFrame, target: str, policy: str = "skip",
     output_dir: str | None = None, suffix: str | None = None,
+) -> DataFrame:
+    """``plan_operation`` for ``convert``."""
+    return plan_operation("convert", files, existing, target, policy, output_dir, F.lit(suffix) if suffix else None)
+
+
+def plan_operation(
+    operation: str, files: DataFrame, existing: DataFrame, target: str | None = None, policy: str = "skip",
+    output_dir: str | None = None, suffix: Column | None = None, params_error: Column | None = None,
 ) -> DataFrame:
     """Names, admission and status of every file before any pixel is read.
 
@@ -29,38 +41,44 @@ def plan_conversion(
     ``status`` = skipped or failed for rows that are settled, and null for rows still to be encoded.
     Under ``replace`` only the last input of an output is encoded; the others are skipped with
     ``error_kind`` superseded. Content is not in the result.
+
+    ``operation`` sets the order of the checks (``audit.CHECK_ORDER``). ``suffix`` and ``params_error`` are
+    columns that may use ``width`` and ``height``, as the naming and validation functions give them. Without
+    a ``target`` the operations in ``KEEP_FORMAT`` keep the source's format.
     """
+    if target is None and operation not in KEEP_FORMAT:
+        raise ValueError(f"{operation} needs a target")
     directory = F.lit(output_dir) if output_dir else None
     sized = with_dims(sniff_format(files, name="source_format")).drop("content")
-    named = sized.withColumn(
-        "output",
-        output_path("path", F.lit(suffix) if suffix else None, extension_of(F.lit(target)), directory),
-    ).withColumn(
+    sized = sized.withColumn("target", F.lit(target) if target else F.col("source_format"))
+    sized = sized.withColumn("params_error", params_error if params_error is not None else F.lit(None).cast("string"))
+    named = sized.withColumn("output", output_path("path", suffix, extension_of("target"), directory))
+    named = named.withColumn(
         "decode_error",
-        F.when(F.col("output").isNull(), "no_stem")
+        F.when(F.col("output").isNull() & F.col("target").isNotNull(), "no_stem")
         .when(F.col("source_format").isNull(), "unsupported_format")
         .otherwise(F.coalesce(admit("length", "width", "height"), F.when(F.col("width").isNull(), "unreadable_header"))),
     )
     # Everything below works on these narrow facts, several times over; the files are read once.
     named = cut_lineage(named)
     # An input that cannot be decoded writes nothing, so it takes no name and stands in nobody's way.
-    sound = named.filter("decode_error IS NULL").select("ord", "output")
+    sound = named.filter("decode_error IS NULL AND params_error IS NULL").select("ord", "output")
     named = named.withColumn("_exists", F.lit(False))
     if policy == "increment":
         placed = resolve_increment_all(sound.withColumnRenamed("output", "naive"), existing)
         named = named.join(placed.select("ord", F.col("output").alias("_placed")), "ord", "left")
-        named = named.withColumn("output", F.when(F.col("decode_error").isNull(), F.col("_placed")).otherwise(F.col("output")))
+        named = named.withColumn("output", F.when(F.col("decode_error").isNull() & F.col("params_error").isNull(), F.col("_placed")).otherwise(F.col("output")))
         named = named.withColumn("decode_error", F.when(F.col("output").isNull(), F.coalesce("decode_error", F.lit("too_many_siblings"))).otherwise(F.col("decode_error")))
     elif policy == "skip":
         # A broken input is skipped only because of a file that is really there, not a sibling in the batch.
         late = resolve_skip(sound, existing).filter(F.col("status") == "skipped").select("ord")
-        broken = named.filter("decode_error IS NOT NULL").join(existing.select("output"), "output", "left_semi")
+        broken = named.filter("decode_error IS NOT NULL OR params_error IS NOT NULL").join(existing.select("output"), "output", "left_semi")
         skipped = late.unionByName(broken.select("ord")).withColumn("_skip", F.lit(True))
         named = named.join(skipped, "ord", "left").withColumn("_exists", F.col("_skip").isNotNull())
     else:
         lost = resolve_replace(sound).filter("superseded").select("ord", F.lit(True).alias("_lost"))
         named = named.join(lost, "ord", "left")
-    verdict = decide_outcome("convert", "decode_error", F.lit(None).cast("string"), "_exists", policy)
+    verdict = decide_outcome(operation, "decode_error", "params_error", "_exists", policy)
     superseded = F.col("_lost").isNotNull() if policy == "replace" else F.lit(False)
     kind = (
         F.when(superseded, "superseded")
@@ -70,7 +88,7 @@ def plan_conversion(
     return (
         named.withColumn("_v", verdict)
         .select(
-            "ord", "path", "length", "source_format", "width", "height", F.lit(target).alias("target"), "output",
+            "ord", "path", "length", "source_format", "width", "height", "target", "output",
             F.when(superseded, "skipped").when(F.col("_v.status") != "written", F.col("_v.status")).alias("status"),
             kind.alias("error_kind"), F.col("_v.error").alias("error"),
         )
@@ -80,25 +98,53 @@ def plan_conversion(
 def run_conversion(
     files: DataFrame, existing: DataFrame, target: str, encode: Callable[[str, bytes, str], int | None],
     policy: str = "skip", output_dir: str | None = None, read_by_path: bool = True, tasks: int | None = None,
+) -> DataFrame:
+    """``run_operation`` for ``convert``."""
+    return run_operation("convert", files, existing, encode, target, policy, output_dir, read_by_path=read_by_path, tasks=tasks)
+
+
+def run_operation(
+    operation: str, files: DataFrame, existing: DataFrame, encode: Callable[[str, bytes, str], int | None],
+    target: str | None = None, policy: str = "skip", output_dir: str | None = None, suffix: Column | None = None,
+    params_error: Column | None = None, read_by_path: bool = True, tasks: int | None = None,
 ) -> DataFrame:
     """Outcome rows of the whole batch: settled rows from the plan, the rest through ``encode``.
 
     The plan works on header facts and names and is checkpointed before anything is written: what a
     retried task recomputes must not see the batch's own outputs as existing ones. Files still to be encoded are read by their tasks, so
     file content never crosses a shuffle; pass ``read_by_path=False`` when ``content`` is small and
-    ``path`` is not a real location.
+    ``path`` is not a real location. Outcomes are written once, so that reading them again does not encode again.
+
+    Under ``skip``, an output whose writer fails goes to the next input that asks for it, until one writes it or
+    none is left.
     """
-    plan = cut_lineage(plan_conversion(files, existing, target, policy, output_dir))
-    todo = plan.filter("status IS NULL").select("ord", "path", "output")
-    if not read_by_path:
-        todo = todo.join(files.select("ord", "content"), "ord")
-    # Written once: reading the outcomes again must not encode the batch again.
-    encoded = cut_lineage(map_images(spread(todo, tasks), encode))
-    settled = plan.filter("status IS NOT NULL").select(
+    plan = cut_lineage(plan_operation(operation, files, existing, target, policy, output_dir, suffix, params_error))
+
+    def encoded(rows: DataFrame) -> DataFrame:
+        todo = rows.select("ord", "path", "output")
+        if not read_by_path:
+            todo = todo.join(files.select("ord", "content"), "ord")
+        return cut_lineage(map_images(spread(todo, tasks), encode))
+
+    done = encoded(plan.filter("status IS NULL"))
+    settled = plan.filter("status IS NOT NULL")
+    if policy == "skip":
+        # Rows that were skipped for a sibling's sake, not for a file that was there.
+        waiting = settled.filter("status = 'skipped' AND error IS NULL AND output IS NOT NULL").join(existing.select("output"), "output", "left_anti")
+        failed = done.filter("status = 'failed'").select("output")
+        while True:
+            turn = waiting.join(failed, "output", "left_semi").groupBy("output").agg(F.min("ord").alias("ord")).select("ord")
+            turn = cut_lineage(turn)
+            if turn.isEmpty():
+                break
+            again = encoded(plan.join(turn, "ord", "left_semi"))
+            done, settled, waiting = done.unionByName(again), settled.join(turn, "ord", "left_anti"), waiting.join(turn, "ord", "left_anti")
+            failed = again.filter("status = 'failed'").select("output")
+    settled = settled.select(
         "ord", F.col("path").alias("input"), "output", "status", "error_kind", "error",
         F.col("length").alias("bytes_in"), F.lit(None).cast("bigint").alias("bytes_out"),
     )
-    return encoded.unionByName(settled)
+    return done.unionByName(settled)
 
 
 def report(outcomes: DataFrame, *keys: str) -> DataFrame:
