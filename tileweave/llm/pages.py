@@ -15,12 +15,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tileweave.session import cut_lineage
+
 #: Tokens of a repeated substring; share of a shard's different pages (and least number) it must occur in.
 DEPTH, SHARE, LEAST = 16, 0.2, 5
 #: A page with a larger share of repeated tokens is a copy of other pages, not furniture: it stays whole.
 WHOLE = 0.5
 #: Hosts are dealt into shards of about so many pages and characters of text; what a host repeats, each shard repeats.
 SHARD_PAGES, SHARD_CHARS = 400, 4_000_000
+#: Hosts of several shards up to this number are broadcast (some 50 bytes each); more are joined by shuffle.
+BROADCAST_HOSTS = 200_000
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -36,6 +40,8 @@ _NAMES = frozenset(
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _CLOSED_BY_BLOCK = frozenset(("p",))
+#: Elements that may hold articles of others (comments, teasers).
+_OPEN_ENDED = frozenset(("section", "aside", "ul", "ol", "li", "article", "template", "dialog"))
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|title|textarea|xmp|noembed|noframes)\b[^>]*>.*?(?:</(?P=raw)\s*[^>]*>|\Z)"
@@ -111,7 +117,7 @@ def blocks_of(page: str | None) -> list[str]:
             if name in _BLOCK and stack and stack[-1][0] in _CLOSED_BY_BLOCK:
                 stack.pop()
             skip = _furniture(name, m["rest"] or "")
-            if name in ("article", "main") and not skip and not seen:
+            if name in ("article", "main") and not skip and not seen and not any(h and n in _OPEN_ENDED for n, h in stack):
                 # The first article of a page is not part of furniture that was left open before it.
                 stack, hidden = [], 0
                 seen = name == "article"
@@ -142,7 +148,7 @@ def repeated_tokens(streams: list[list[str]], depth: int = DEPTH, share: float =
     while reach < depth:
         step = min(reach, depth - reach)
         ahead = np.zeros(len(rank), np.int64)
-        ahead[: len(rank) - step] = rank[step:] + 1
+        ahead[: max(len(rank) - step, 0)] = rank[step:] + 1
         rank = np.unique(rank * (len(rank) + 2) + ahead, return_inverse=True)[1].astype(np.int64)
         reach += step
     blank = np.concatenate([[0], np.cumsum(joined == 0)])
@@ -199,8 +205,11 @@ def extract_text(pages: DataFrame) -> DataFrame:
     # Shards are sized by the raw pages, so that pages need not be parsed for it.
     sizes = pages.groupBy(host_of(F.col("url")).alias("host")).agg(F.count("*").alias("n"), F.sum(F.length("html")).alias("chars"))
     sizes = sizes.select("host", F.greatest(F.ceil(F.col("n") / SHARD_PAGES), F.ceil(F.coalesce("chars", F.lit(0)) / SHARD_CHARS), F.lit(1)).alias("shards"))
-    placed = rows.withColumn("host", host_of(F.col("url"))).join(sizes, "host", "left")
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64("url", F.col("page_id").cast("string")), F.coalesce("shards", F.lit(1))))
+    sizes = cut_lineage(sizes.where(F.col("shards") > 1))
+    placed = rows.withColumn("host", host_of(F.col("url"))).join(F.broadcast(sizes) if sizes.count() <= BROADCAST_HOSTS else sizes, "host", "left")
+    # One key, so that the groups are dealt anew and not by host as after a join.
+    shard = F.pmod(F.xxhash64("url", F.col("page_id").cast("string")), F.coalesce("shards", F.lit(1)))
+    placed = placed.select("page_id", "url", "blocks", F.concat_ws(" ", "host", shard).alias("cell"))
 
     def keep(table: pa.Table) -> pa.Table:
         blocks = table["blocks"].to_pylist()
@@ -209,5 +218,5 @@ def extract_text(pages: DataFrame) -> DataFrame:
         return pa.table([table["page_id"], table["url"], text], names=["page_id", "url", "text"])
 
     out = T.StructType([schema["page_id"], schema["url"], T.StructField("text", T.StringType())])
-    done = placed.select("host", "shard", "page_id", "url", "blocks").groupBy("host", "shard").applyInArrow(keep, out)
+    done = placed.groupBy("cell").applyInArrow(keep, out)
     return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
