@@ -33,7 +33,7 @@ from .tokens import Texts, chunks, lower, mix, shingles
 #: Shingles counted this often or more go last in the order; at most so many of them (8 bytes each) are sent to the executors. The order decides speed, never results.
 HOT, HOT_MOST = 24, 1 << 20
 #: Shingles a task counts at a time, pivots of a crowded region, slots of the sieve of documents to compare.
-COUNT_AT_ONCE, PIVOTS, SIEVE = 4_000_000, 4, 1 << 20
+COUNT_AT_ONCE, PIVOTS, SIEVE = 2_000_000, 4, 1 << 20
 #: Rounds in which the small classes of a crowded region get new pivots, before what is left is joined pair by pair.
 WAVES = 1
 
