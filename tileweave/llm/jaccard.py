@@ -34,6 +34,8 @@ from .tokens import Texts, chunks, lower, mix, shingles
 HOT, HOT_MOST = 24, 1 << 20
 #: Shingles a task counts at a time, pivots of a crowded region, slots of the sieve of documents to compare.
 COUNT_AT_ONCE, PIVOTS, SIEVE = 2_000_000, 4, 1 << 20
+#: Regions, in the order of its common shingles, in which a document meets pivots at first.
+MEET = 4
 #: Rounds in which the small classes of a crowded region get new pivots, before what is left is joined pair by pair.
 WAVES = 1
 
@@ -272,7 +274,9 @@ def _links(docs: DataFrame, first: DataFrame, reps: DataFrame, k: int, num: int,
     cold = first.where("not common").drop("common").repartition("s").dropDuplicates(["s", "node"])
     likely = _likely(_pairs(cold, cold, num, den, False, F.col("l_node") < F.col("r_node")), num, den, False)
     hot = _written(first.where("common").drop("common").dropDuplicates(["s", "node"]))
-    measured = _pairs(hot, hot.join(_pivots(hot, num, den), ["s", "node"]).select(*hot.columns), num, den, True)
+    # The regions of one group of copies have the same few pivots; a document meets those of its first common shingles.
+    early = F.col("l_i") - (_first("l_n", num, den) - F.col("l_h")) < MEET
+    measured = _pairs(hot, hot.join(_pivots(hot, num, den), ["s", "node"]).select(*hot.columns), num, den, True, early)
     wave = _written(likely.unionByName(measured.select("x", "y", "nx", "ny").distinct()).distinct())
     wanted = wave.select(F.col("x").alias("node")).union(wave.select("y")).union(hot.select("node")).distinct()
     wanted = _written(reps.join(wanted, "node", "left_semi"))
