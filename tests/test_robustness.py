@@ -94,6 +94,28 @@ def test_pixel_bombs_and_unreadable_headers_are_not_admitted(spark):
     assert all(got[i] == "too_many_pixels" for i in range(len(rows) - 2)) and got[50] == "unreadable_header" and got[51] is None
 
 
+def test_headers_behind_the_first_bytes(spark):
+    pixels = b"\x5a" * 2_000_000
+    entries = {o: struct.pack(o + "H", 2) + struct.pack(o + "HHII", 256, 4, 1, 70) + struct.pack(o + "HHII", 257, 4, 1, 50) for o in "<>"}
+    app = b"\xff\xe2\xff\xff" + bytes(65_533)
+    ispe = _box(b"meta", b"\0\0\0\0" + _box(b"iprp", _box(b"ipco", _box(b"ispe", b"\0\0\0\0" + struct.pack(">II", 70, 50)))))
+    fake = _box(b"ispe", b"\0\0\0\0" + struct.pack(">II", 9000, 9000))
+    contents = {
+        "little.tif": b"II*\0" + struct.pack("<I", 8 + len(pixels)) + pixels + entries["<"],
+        "big.tif": b"MM\0*" + struct.pack(">I", 8 + len(pixels)) + pixels + entries[">"],
+        "segments.jpg": b"\xff\xd8" + app * 20 + b"\xff\xc0\0\x0b\x08" + struct.pack(">HH", 50, 70) + b"\x01\x01\x11\0",
+        "late.avif": _box(b"ftyp", b"avif\0\0\0\0") + _box(b"mdat", fake + pixels) + ispe,
+        "broken.tif": b"II*\0" + struct.pack("<I", 2**32 - 5) + pixels,
+        "cut.tif": b"II*\0" + struct.pack("<I", 8 + len(pixels)) + pixels + entries["<"][:8],
+        "broken.jpg": b"\xff\xd8" + app * 20,
+    }
+    files = spark.createDataFrame([(i, f"/in/{n}", bytearray(c)) for i, (n, c) in enumerate(contents.items())], "ord bigint, path string, content binary")
+    files = files.withColumn("length", F.length("content").cast("bigint"))
+    rows = plan_conversion(files, spark.createDataFrame([], "output string"), "png", output_dir="/out").collect()
+    got = {r.path[4:]: (r.width, r.height, r.error) for r in rows}
+    assert got == {n: (None, None, "unreadable_header") if n[:3] in ("bro", "cut") else (70, 50, None) for n in contents}
+
+
 def test_exif_in_webp_and_heif():
     block = b"II*\0\x08\0\0\0\x01\0" + struct.pack("<HHI", 0x0110, 2, 3) + b"ab\0\0" + b"\0\0\0\0"
     webp = b"RIFF\0\0\0\0WEBPVP8X\x01\0\0\0\0\0EXIF" + struct.pack("<I", len(block)) + block

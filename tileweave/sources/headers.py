@@ -9,10 +9,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.binary import read_dims
+from ..functions.binary import read_dims, uint_be, uint_le
 
-#: Bytes of a file that are looked at. A header that needs more counts as unreadable.
+#: Bytes of a file that are looked at first. Only a header that goes on behind them gets more of its file.
 HEAD_BYTES = 512 * 1024
+#: Most entries of a TIFF directory, by the width of its count.
+_TIFF_ENTRIES = 0xFFFF
 
 
 def _jpeg(d: bytes):
@@ -58,7 +60,28 @@ def _tiff(d: bytes):
     return (found[256], found[257]) if len(found) == 2 else None
 
 
+def _avif_meta(d: bytes) -> bytes:
+    """The ``meta`` box, which may follow the pixels; all bytes if there is none up to the end of the last box."""
+    at = 0
+    while at + 8 <= len(d):
+        size, kind = struct.unpack_from(">I4s", d, at)
+        if size == 1:
+            (size,) = struct.unpack_from(">Q", d, at + 8)
+        size = size or len(d) - at
+        if kind == b"meta":
+            if at + size > len(d):
+                raise IndexError("box goes on")
+            return d[at : at + size]
+        if size < 8 or kind == b"mdat" and at + size > len(d):
+            raise IndexError("box goes on")
+        at += size
+    if at != len(d):
+        raise IndexError("box goes on")
+    return d
+
+
 def _avif(d: bytes):
+    d = _avif_meta(d)
     sizes = [struct.unpack_from(">II", d, m.end() + 4) for m in re.finditer(b"ispe", d) if m.end() + 12 <= len(d)]
     return max(sizes, key=lambda s: s[0] * s[1], default=None)
 
@@ -108,10 +131,25 @@ def dims_of(head: bytes, format_: str | None) -> tuple[int, int] | None:
     return found if found and min(found) > 0 else None
 
 
+def _tiff_head(content):
+    """Header and first directory of a TIFF as a file of their own; the directory may lie anywhere in the content."""
+    little = F.substring(content, 1, 2) == F.lit(b"II")
+    start = F.when(little, uint_le(content, 5, 4)).otherwise(uint_be(content, 5, 4)) + 1
+    inside = start <= F.length(content)
+    start = F.when(inside, start).cast("int")
+    size = 2 + 12 * _TIFF_ENTRIES
+    count = F.substring(content, start, F.lit(2))
+    entries = F.when(little, uint_le(count, 1, 2)).otherwise(uint_be(count, 1, 2))
+    directory = F.substring(content, start, F.least(2 + 12 * entries, F.lit(size)).cast("int"))
+    offset = F.when(little, F.lit(b"\x08\0\0\0")).otherwise(F.lit(b"\0\0\0\x08"))
+    return F.concat(F.substring(content, 1, 4), offset, directory)
+
+
 def with_dims(files: DataFrame, format_: str = "source_format", content: str = "content") -> DataFrame:
     """Adds ``width`` and ``height``: by column expressions for fixed headers, by a reader for the others, null if unreadable.
 
-    Only the first ``HEAD_BYTES`` of such a file go to Python.
+    Of a TIFF the header and the first directory go to Python, of other such files the first ``HEAD_BYTES``. A
+    longer file whose size is not among them goes there whole.
     """
 
     @F.pandas_udf("struct<width:bigint,height:bigint>")
@@ -119,7 +157,8 @@ def with_dims(files: DataFrame, format_: str = "source_format", content: str = "
         rows = [dims_of(bytes(h), f) if h is not None else None for h, f in zip(heads, formats)]
         return pd.DataFrame({"width": pd.array([r and r[0] for r in rows], "Int64"), "height": pd.array([r and r[1] for r in rows], "Int64")})
 
-    walk = F.col(format_).isin(*_READERS)
-    head = F.when(walk, F.substring(F.col(content), 1, HEAD_BYTES))
-    sized = files.withColumn("_fixed", read_dims(content)).withColumn("_walked", read(head, F.col(format_)))
-    return sized.withColumns({side: F.coalesce(f"_fixed.{side}", f"_walked.{side}") for side in ("width", "height")}).drop("_fixed", "_walked")
+    c, kind = F.col(content), F.col(format_)
+    head = F.when(kind == "tiff", _tiff_head(c)).when(kind.isin(*_READERS), F.substring(c, 1, HEAD_BYTES))
+    more = F.when(kind.isin(*(set(_READERS) - {"tiff"})) & F.col("_walked.width").isNull() & (F.length(c) > HEAD_BYTES), c)
+    sized = files.withColumn("_fixed", read_dims(content)).withColumn("_walked", read(head, kind)).withColumn("_whole", read(more, kind))
+    return sized.withColumns({side: F.coalesce(f"_fixed.{side}", f"_walked.{side}", f"_whole.{side}") for side in ("width", "height")}).drop("_fixed", "_walked", "_whole")
