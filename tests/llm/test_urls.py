@@ -53,3 +53,22 @@ def test_edges(spark):
     table = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'h' as host", "'s' as segments", "1 as n_urls", "'t' as template")
     got = sorted(((r.page_id, r.host, r.rule, r.verdict) for r in urls.judge(table).collect()), key=repr)
     assert got == sorted([(1, "a.net", "net/es/", "block")] * 2 + [(None, "", None, "allow"), (2, "a.org", None, "allow")], key=repr)
+
+
+def test_blocked_hosts_reject_what_no_rule_labels(spark):
+    rules = (urls.Rule("org", "/bad/", "block"), urls.Rule("org", "/worse/", "block"), urls.Rule("com", "/", "allow"))
+    rows = [(f"http://h{h}.org/{s}/{i}", s) for h in range(5) for s in ("bad", "worse", "open") for i in range(30)]
+    rows += [(f"http://g{h}.com/{s}/{i}", s) for h in range(5) for s in ("a", "b") for i in range(30)] + [(f"http://plain.info/x/{i}", "x") for i in range(30)]
+    table = spark.createDataFrame([(i, u, "") for i, (u, _) in enumerate(rows)], SCHEMA)
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(table, rules).collect()}
+    assert {got[i] for i, (_, s) in enumerate(rows) if s == "open"} == {(None, "block")}
+    assert {got[i] for i, (_, s) in enumerate(rows) if s == "x"} == {(None, "allow")}
+
+
+def test_many_other_segments_do_not_change_a_labelled_one(spark):
+    rules = (urls.Rule("a.org", "/bad/", "block"), urls.Rule("a.org", "/good/", "allow"))
+    for extra in (10, 60):
+        rows = [f"http://a.org/bad/{i}" for i in range(40)] + [f"http://a.org/good/{i}" for i in range(40)] + [f"http://a.org/other{chr(97 + i // 26)}{chr(97 + i % 26)}/1" for i in range(extra)]
+        got = urls.judge(spark.createDataFrame([(i, u, "") for i, u in enumerate(rows)], SCHEMA), rules, reject=0.8).collect()
+        assert {r.template for r in got if r.path.startswith("/bad/")} == {"/bad/+"}
+        assert {r.verdict for r in got if r.path.startswith("/other")} == {"allow"}
