@@ -90,3 +90,14 @@ def test_host_boilerplate_goes_and_copies_stay(spark):
 def test_whole_page_of_repeats_stays():
     assert pages.unique_text(["a b", "c"], np.array([True, True, False])) == "a b\nc"
     assert pages.unique_text(["a b", "c d"], np.array([True, False, False, False])) == "b\nc d"
+
+
+def test_shards_of_a_host_count_together(spark):
+    rng = random.Random(3)
+    notice = " ".join(f"notice{k}" for k in range(20))
+    word = lambda n: " ".join("%x" % rng.getrandbits(40) for _ in range(n))
+    bodies = [word(60) for _ in range(19)] + [word(12)]
+    rows = [(i, f"http://a.org/{i}", page(f"<p>{b}</p><p>{notice}</p>")) for i, b in enumerate(bodies)]
+    rows.append((20, "http://a.org/20", page("<p>q</p>") + "<!--" + "x" * 40_000_000 + "-->"))
+    got = {r.page_id: r.text for r in pages.extract_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == dict(enumerate([*bodies, "q"]))

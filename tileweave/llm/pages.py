@@ -1,30 +1,32 @@
 """Main text of HTML pages: structure first, then what a host's pages repeat.
 
-Blocks of running text are cut out of the markup, without the parts that structure marks as furniture. The
-token streams of a host's pages are then concatenated and a suffix array over them (sorted by the first
-``DEPTH`` tokens, which is as deep as the question needs) shows every long substring that occurs in many
-distinct pages; the tokens it covers are boilerplate, and the runs between stay.
+Blocks of running text are cut out of the markup, without the parts that structure marks as furniture. A host's
+pages are dealt into shards that only bound memory: runs of ``DEPTH`` tokens are counted, as 64-bit hashes, over
+all distinct pages of the host. Frequent runs are boilerplate, and the tokens between stay. Runs that are mostly
+found on pages which consist of frequent runs by more than half are text of copies and stay on those.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tileweave.session import cut_lineage
 
-#: Tokens of a repeated substring; share of a shard's different pages (and least number) it must occur in.
+#: Tokens of a repeated substring; share of a host's different pages (and least number) it must occur in.
 DEPTH, SHARE, LEAST = 16, 0.2, 5
-#: A page with a larger share of repeated tokens is a copy of other pages, not furniture: it stays whole.
+#: A page with a larger share of repeated tokens may be a copy of other pages, which is not furniture.
 WHOLE = 0.5
-#: Hosts are dealt into shards of about so many pages and characters of text; what a host repeats, each shard repeats.
+#: Hosts are dealt into shards of about so many pages and characters of text.
 SHARD_PAGES, SHARD_CHARS = 400, 4_000_000
-#: Hosts of several shards up to this number are broadcast (some 50 bytes each); more are joined by shuffle.
-BROADCAST_HOSTS = 200_000
+#: Lists of up to so many hosts and hashes are broadcast (some 50 bytes a host, 8 a hash); more are joined by shuffle.
+BROADCAST_HOSTS, BROADCAST_HASHES = 200_000, 4_000_000
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -187,6 +189,110 @@ def host_of(url):
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+class _Shard:
+    """The pages of one row of ``_packed``, with the hash and the page of each run of ``DEPTH`` tokens."""
+
+    def __init__(self, blob: bytes, contents: list[int]):
+        self.table = pa.ipc.open_stream(blob).read_all()
+        self.blocks = [zlib.decompress(p).decode().split("\n") for p in self.table["packed"].to_pylist()]
+        tokens = [[t for b in bs for t in b.split(" ")] for bs in self.blocks]
+        self.ends = np.cumsum([0] + [len(t) for t in tokens])
+        page = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+        codes, words = pd.factorize(np.array([t for ts in tokens for t in ts], object))
+        word = pd.util.hash_array(words, categorize=False)[codes]
+        runs = max(len(page) - DEPTH + 1, 0)
+        code = np.zeros(runs, np.uint64)
+        for k in range(DEPTH):
+            code = code * np.uint64(0x9E3779B97F4A7C15) + word[k : k + runs]
+        self.start = np.flatnonzero(page[:runs] == page[DEPTH - 1 : DEPTH - 1 + runs])
+        self.code, self.page = code[self.start].view(np.int64), page[self.start]
+        self.content = np.array(contents, np.int64)
+
+    def pairs(self, hit) -> pd.DataFrame:
+        """The different runs of ``hit`` by page content."""
+        return pd.DataFrame({"code": self.code[hit], "content": self.content[self.page[hit]]}).drop_duplicates()
+
+    def covered(self, hit) -> list[np.ndarray]:
+        """For each page, which tokens the runs of ``hit`` cover."""
+        edge = np.zeros(self.ends[-1] + 1, np.int64)
+        np.add.at(edge, self.start[hit], 1)
+        np.add.at(edge, self.start[hit] + DEPTH, -1)
+        flags = np.cumsum(edge)[:-1] > 0
+        return [flags[a:b] for a, b in zip(self.ends, self.ends[1:])]
+
+    def mostly(self, hit) -> np.ndarray:
+        """Whether each page is covered by more than ``WHOLE``."""
+        return np.array([c.size > 0 and c.mean() > WHOLE for c in self.covered(hit)], bool)
+
+
+def _packed(table: pa.Table) -> pa.Table:
+    sink = pa.BufferOutputStream()
+    rows = table.select(["page_id", "url", "packed"]).combine_chunks()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows)
+    blob = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+    return pa.table([table["host"][:1], table["shards"][:1], blob, pa.array([table["content"].to_pylist()], pa.list_(pa.int64()))], names=["host", "shards", "blob", "contents"])
+
+
+def _shards_with(shards: DataFrame, lists: DataFrame, hashes: int) -> DataFrame:
+    """Shards with what their host has in ``lists``; broadcast, unless that is large."""
+    return shards.join(F.broadcast(lists) if hashes <= BROADCAST_HASHES else lists, "host", "left")
+
+
+def _rows(batch: pa.RecordBatch):
+    """One row at a time, as each may be large."""
+    for i in range(batch.num_rows):
+        yield tuple(c[i].as_py() for c in batch.columns)
+
+
+def _array(values) -> np.ndarray:
+    return np.array([] if values is None else values, np.int64)
+
+
+def _frequent(shards: DataFrame) -> tuple[DataFrame, int]:
+    """``host, codes, copied``: the frequent runs of each host, and those of them that are text of copies; and their number."""
+    pages = shards.select("host", "shards", F.explode("contents").alias("content")).distinct().groupBy("host", "shards").agg(F.count("*").alias("n"))
+    pages = cut_lineage(pages.select("host", F.greatest(F.lit(float(LEAST)), F.col("n") * SHARE).alias("limit"), F.col("shards").alias("over")))
+
+    def local(batches):
+        # A run that is frequent in the host has its average share of that in some shard.
+        for b in batches:
+            for host, limit, over, blob, contents in _rows(b):
+                shard = _Shard(blob, contents)
+                counts = shard.pairs(slice(None))["code"].value_counts()
+                codes = counts.index[counts.to_numpy() >= limit / over].to_numpy(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([host] * len(codes), pa.string()), pa.array(codes, pa.int64())], names=["host", "code"])
+
+    def listed(rows, *columns):
+        lists = cut_lineage(rows.groupBy("host").agg(*columns))
+        return lists, lists.agg(F.sum(F.size("codes"))).first()[0] or 0
+
+    placed = _shards_with(shards, pages, pages.count()).select("host", "limit", "over", "blob", "contents")
+    lists, size = listed(placed.mapInArrow(local, "host string, code bigint").distinct(), F.collect_list("code").alias("codes"))
+
+    def pairs(batches):
+        for b in batches:
+            for host, blob, contents, codes in _rows(b):
+                shard = _Shard(blob, contents)
+                hit = np.isin(shard.code, _array(codes))
+                most = shard.content[shard.mostly(hit)]
+                found = shard.pairs(hit)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([host] * len(found), pa.string()), pa.array(found["code"].to_numpy()), pa.array(found["content"].to_numpy()), pa.array(np.isin(found["content"], most))],
+                    names=["host", "code", "content", "most"],
+                )
+
+    def counted(lists, size):
+        rows = _shards_with(shards, lists, size).select("host", "blob", "contents", "codes").where("codes is not null")
+        rows = rows.mapInArrow(pairs, "host string, code bigint, content bigint, most boolean")
+        return rows.distinct().groupBy("host", "code").agg(F.count("*").alias("n"), F.count_if("most").alias("most"))
+
+    exact = counted(lists, size).join(F.broadcast(pages) if pages.count() <= BROADCAST_HOSTS else pages, "host").where("n >= limit")
+    lists, size = listed(exact, F.collect_list("code").alias("codes"))
+    # Only with the exact list it is known which pages are mostly made of frequent runs.
+    return listed(counted(lists, size), F.collect_list("code").alias("codes"), F.collect_list(F.when(F.col("most") * 2 > F.col("n"), F.col("code"))).alias("copied"))
+
+
 def extract_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row: the main text, blocks joined by line breaks.
 
@@ -195,28 +301,41 @@ def extract_text(pages: DataFrame) -> DataFrame:
     html`` are ignored.
     """
     kinds = {f.name: f.dataType for f in pages.schema}
-    schema = T.StructType([T.StructField("page_id", kinds["page_id"]), T.StructField("url", T.StringType()), T.StructField("blocks", T.ArrayType(T.StringType()))])
+    schema = T.StructType([T.StructField("page_id", kinds["page_id"]), T.StructField("url", T.StringType())])
+
+    packed = T.StructType([schema["page_id"], schema["url"], T.StructField("packed", T.BinaryType()), T.StructField("content", T.LongType())])
 
     def cut(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([blocks_of(h.as_py()) for h in b.column(2)], pa.list_(pa.string()))], names=schema.names)
+            blocks = [blocks_of(h.as_py()) for h in b.column(2)]
+            content = pd.util.hash_array(np.array([" ".join(x) for x in blocks], object), categorize=False).view(np.int64)
+            packs = [zlib.compress("\n".join(x).encode()) for x in blocks]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packs, pa.binary()), pa.array(content)], names=packed.names)
 
-    rows = pages.select("page_id", F.col("url").cast("string"), "html").mapInArrow(cut, schema)
+    rows = pages.select("page_id", F.col("url").cast("string"), "html").mapInArrow(cut, packed)
     # Shards are sized by the raw pages, so that pages need not be parsed for it.
     sizes = pages.groupBy(host_of(F.col("url")).alias("host")).agg(F.count("*").alias("n"), F.sum(F.length("html")).alias("chars"))
     sizes = sizes.select("host", F.greatest(F.ceil(F.col("n") / SHARD_PAGES), F.ceil(F.coalesce("chars", F.lit(0)) / SHARD_CHARS), F.lit(1)).alias("shards"))
     sizes = cut_lineage(sizes.where(F.col("shards") > 1))
     placed = rows.withColumn("host", host_of(F.col("url"))).join(F.broadcast(sizes) if sizes.count() <= BROADCAST_HOSTS else sizes, "host", "left")
     # One key, so that the groups are dealt anew and not by host as after a join.
-    shard = F.pmod(F.xxhash64("url", F.col("page_id").cast("string")), F.coalesce("shards", F.lit(1)))
-    placed = placed.select("page_id", "url", "blocks", F.concat_ws(" ", "host", shard).alias("cell"))
+    placed = placed.withColumn("shards", F.coalesce("shards", F.lit(1)))
+    shard = F.pmod(F.xxhash64("url", F.col("page_id").cast("string")), F.col("shards"))
+    placed = placed.select("host", "shards", "page_id", "url", "packed", "content", F.concat_ws(" ", "host", shard).alias("cell"))
+    shards = cut_lineage(placed.groupBy("cell").applyInArrow(_packed, "host string, shards bigint, blob binary, contents array<bigint>"))
+    lists, size = _frequent(shards)
+    out = T.StructType([schema["page_id"], schema["url"], T.StructField("text", T.StringType())])
 
-    def keep(table: pa.Table) -> pa.Table:
-        blocks = table["blocks"].to_pylist()
-        flags = repeated_tokens([[t for b in bs for t in b.split(" ")] for bs in blocks])
-        text = pa.array([unique_text(b, f) for b, f in zip(blocks, flags)], pa.string())
-        return pa.table([table["page_id"], table["url"], text], names=["page_id", "url", "text"])
+    def keep(batches):
+        for b in batches:
+            for blob, contents, codes, copied in _rows(b):
+                shard = _Shard(blob, contents)
+                hit = np.isin(shard.code, _array(codes))
+                most = shard.mostly(hit)
+                # A page of mostly frequent runs loses those that are furniture elsewhere.
+                gone = hit & ~(most[shard.page] & np.isin(shard.code, _array(copied)))
+                text = pa.array([unique_text(bs, c, 1.0) for bs, c in zip(shard.blocks, shard.covered(gone))], pa.string())
+                yield from pa.table([shard.table["page_id"], shard.table["url"], text], names=out.names).to_batches()
 
-    out = T.StructType([schema["page_id"], schema["url"], T.StructField("text", T.StringType())])
-    done = placed.groupBy("cell").applyInArrow(keep, out)
+    done = _shards_with(shards, lists, size).select("blob", "contents", "codes", "copied").mapInArrow(keep, out)
     return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
