@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, jaccard, linedup, mixing, pages, pii, quality, toxicity, urls
+from . import chat, decontam, jaccard, language, linedup, mixing, pages, pii, quality, toxicity, urls
 
 QUERIES, ORACLES = {}, {}
 
@@ -106,3 +106,8 @@ def op6(spark, sf_dir):
 @query("op3_jaccard_join")
 def op3(spark, sf_dir):
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@query("op13_language")
+def op13(spark, sf_dir):
+    return language.fit_and_predict(table(spark, sf_dir, "documents"))
