@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, jaccard, language, linedup, mixing, pages, pii, quality, toxicity, urls
+from . import chat, collocations, decontam, jaccard, language, linedup, mixing, pages, pii, quality, ranking, toxicity, urls
 
 QUERIES, ORACLES = {}, {}
 
@@ -111,3 +111,43 @@ def op3(spark, sf_dir):
 @query("op13_language")
 def op13(spark, sf_dir):
     return language.fit_and_predict(table(spark, sf_dir, "documents"))
+
+
+@query("op11_ranked_search", """
+with t as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term
+           from documents where text is not null),
+q as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term
+      from benchmark where item_id is not null and text is not null),
+d as (select doc_id, count(*) as n from t group by doc_id),
+a as (select count(*) as n_all, cast(sum(n) as bigint) as terms_all from d),
+f as (select doc_id, term, count(*) as tf from t where term in (select term from q) group by doc_id, term),
+w as (select term, cast(floor(1000 * ln((2 * any_value(n_all) + 2) / (2 * count(*) + 1))) as bigint) as weight from f, a group by term),
+s as (select item_id, doc_id, cast(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_all) // terms_all)))) as bigint) as score
+      from q join f using (term) join w using (term) join d using (doc_id), a group by item_id, doc_id)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score
+from s where score > 0 qualify row_number() over (partition by item_id order by score desc, doc_id) <= 10
+""")
+def op11(spark, sf_dir):
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_collocations", """
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece
+           from documents where text is not null),
+w as (select lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') as w from p),
+g as (select lang, unnest(flatten(list_transform([1, 2, 3], lambda k: list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])))) as g from w),
+f as (select lang, g, count(*) as f from g group by lang, g),
+t as (select lang, cast(sum(f) as bigint) as n from f where len(g) = 1 group by lang),
+c as (select lang, g, f as a from f where len(g) > 1 and f >= 10),
+cuts as (select lang, g, a, k, g[1:k] as head, g[k + 1:len(g)] as tail from (select *, unnest(range(1, len(g))) as k from c)),
+s as (select cuts.lang, cuts.g, a, k, x.f as l, y.f as r, cast(1000000::hugeint * a * a // (x.f::hugeint * y.f) as bigint) as score
+      from cuts join f x on x.lang = cuts.lang and x.g = head join f y on y.lang = cuts.lang and y.g = tail),
+best as (select * from s qualify row_number() over (partition by lang, g order by score, k) = 1),
+inner_ as (select lang, unnest([g[1:2], g[2:3]]) as g, a as longer from c where len(g) = 3),
+around as (select lang, g, max(longer) as longer from inner_ group by lang, g),
+kept as (select best.*, array_to_string(best.g, ' ') as phrase from best left join around using (lang, g) where longer is null or 100 * longer < 50 * a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from kept join t using (lang)
+qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= 2000
+""")
+def op12(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
