@@ -56,13 +56,16 @@ class Paths:
 def condense(parts: list[Paths]) -> Paths:
     """The union of tables in any order, weights of equal paths summed."""
     g, h2, h3, n = (np.concatenate([getattr(p, c) for p in parts]) for c in ("g", "h2", "h3", "n"))
+    # The callers' tables are not needed any more.
+    parts.clear()
     if not len(g):
         return Paths(g, h2, h3, n)
-    ids = [np.unique(x, return_inverse=True) for x in (g, h2, h3)]
-    if all(len(u) <= 1 << 21 for u, _ in ids):
-        order = np.argsort(ids[0][1] << 42 | ids[1][1] << 21 | ids[2][1], kind="stable")
-    else:
-        order = np.lexsort((ids[2][1], ids[1][1], ids[0][1]))
+    packed, fits = np.zeros(len(g), np.int64), True
+    for x in (g, h2, h3):
+        labels, code = np.unique(x, return_inverse=True)
+        fits &= len(labels) <= 1 << 21
+        packed = packed << 21 | code
+    order = np.argsort(packed, kind="stable") if fits else np.lexsort((h3, h2, g))
     g, h2, h3 = g[order], h2[order], h3[order]
     edge = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (h2[1:] != h2[:-1]) | (h3[1:] != h3[:-1])]))
     return Paths(g[edge], h2[edge], h3[edge], np.add.reduceat(n[order], edge))

@@ -24,7 +24,7 @@ from .tokens import chunks, lower, mix
 
 LEAST, SHARE, FIRST = 10, 50, 2000
 #: Words that a task counts before it writes transducers; words of a range; cells that a round cuts a cell into.
-FLUSH, RANGE, FAN = 1_500_000, 2_000_000, 128
+FLUSH, RANGE, FAN = 800_000, 800_000, 256
 #: Bound of the ranges (8 bytes each go to the tasks), and sampled keys a range (to the driver, 8 bytes each).
 MOST_RANGES, KEYS = 1 << 19, 16
 #: Rows of a table of counts are dealt over so many copies where candidates ask for them: many may share a word.
@@ -121,8 +121,12 @@ def _cells(paths: Paths, names: Names, ranges: Ranges, step: int):
 
 
 def _union(blobs) -> tuple[Paths, Names]:
-    parts = [Transducer(b) for b in blobs]
-    return condense([p.paths() for p in parts]), Names.union([p.names for p in parts])
+    paths, names = [], []
+    for blob in blobs:
+        part = Transducer(blob)
+        paths.append(part.paths())
+        names.append(part.names)
+    return condense(paths), Names.union(names)
 
 
 def _again(ranges, step: int):
