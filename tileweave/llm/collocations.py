@@ -24,7 +24,9 @@ from .tokens import chunks, lower, mix
 
 LEAST, SHARE, FIRST = 10, 50, 2000
 #: Words that a task counts before it writes transducers; words of a range; cells that a round cuts a cell into.
-FLUSH, RANGE, FAN = 800_000, 800_000, 256
+FLUSH, RANGE, FAN = 600_000, 1_200_000, 256
+#: Rows whose texts a task copies at once.
+ROWS = 1000
 #: Bound of the ranges (8 bytes each go to the tasks), and sampled keys a range (to the driver, 8 bytes each).
 MOST_RANGES, KEYS = 1 << 19, 16
 #: Rows of a table of counts are dealt over so many copies where candidates ask for them: many may share a word.
@@ -170,11 +172,15 @@ def transducers(docs: DataFrame, least: int = LEAST, flush: int = FLUSH, range_w
     def count(batches):
         paths, names, n = [], [], 0
         for b in batches:
-            for p, words in read(b.column(0), b.column(1)):
-                paths, names, n = paths + [p], names + [words], n + len(p)
-                if n >= flush:
-                    yield _cells(condense(paths), Names.union(names), shared.value, steps[0])
-                    paths, names, n = [], [], 0
+            for first in range(0, b.num_rows, ROWS):
+                for p, words in read(b.column(0).slice(first, ROWS), b.column(1).slice(first, ROWS)):
+                    paths.append(p)
+                    names.append(words)
+                    n += len(p)
+                    if n >= flush:
+                        yield _cells(condense(paths), Names.union(names), shared.value, steps[0])
+                        paths, names, n = [], [], 0
+                        pa.default_memory_pool().release_unused()
         if n:
             yield _cells(condense(paths), Names.union(names), shared.value, steps[0])
 
