@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("pixels", "planning", "naming", "reports", "text", "files")
+MODULES = ("pixels", "planning", "naming", "reports", "text", "files", "headers")
 
 
 def load_all():

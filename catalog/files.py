@@ -11,8 +11,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from tileweave.operators import pixels as pz, stats
-from tileweave.functions.validation import validate_adjust, validate_crop, validate_resize_percent
-from tileweave.plans.conversion import run_conversion, run_operation
+from tileweave.plans import operations as ops
+from tileweave.plans.conversion import run_conversion
 from tileweave.session import shared_dir
 from tileweave.sources import exif, files as fl, sinks
 
@@ -233,48 +233,125 @@ def _outcome(out):
     )
 
 
-# The same batch under other operations: checks in their own order, the source's format kept.
-_OPERATION = """WITH named AS (SELECT doc_id, concat('/in/', doc_id % 300, CASE WHEN doc_id % 3 = 0 THEN '.gif' ELSE '.png' END) AS path,
+# The same batch under other operations: checks in their own order, the source's format kept, each with its own suffix.
+_OPERATION = """WITH named AS (SELECT doc_id, concat('/in/', doc_id % 300, CASE WHEN doc_id % 3 = 0 THEN '.gif' ELSE '.png' END) AS path, concat('/in/', doc_id % 300, {suffix}, '.png') AS output,
     CASE WHEN doc_id % 4 = 1 THEN 'too_many_pixels' END AS d_error, {params} AS p_error, (doc_id % 300) % 10 = 0 AS listed, octet_length(encode(text)) + 24 AS bytes_in FROM documents),
-  ranked AS (SELECT *, d_error IS NULL AND p_error IS NULL AS sound, row_number() OVER (PARTITION BY doc_id % 300, d_error IS NULL AND p_error IS NULL ORDER BY doc_id) AS r FROM named)
-SELECT doc_id AS ord, path AS input, CASE WHEN NOT sound THEN 'failed' WHEN listed OR r > 1 THEN 'skipped' ELSE 'written' END AS status,
+  ranked AS (SELECT *, d_error IS NULL AND p_error IS NULL AS sound, row_number() OVER (PARTITION BY output, d_error IS NULL AND p_error IS NULL ORDER BY doc_id) AS r FROM named)
+SELECT doc_id AS ord, path AS input, output, CASE WHEN NOT sound THEN 'failed' WHEN listed OR r > 1 THEN 'skipped' ELSE 'written' END AS status,
   coalesce({first}, {second}, '-') AS error, bytes_in, CASE WHEN sound AND NOT listed AND r = 1 THEN bytes_in // 3 ELSE -1 END AS bytes_out FROM ranked"""
 _CROP = "CASE WHEN doc_id % 80 = 0 THEN 'zero_size' WHEN doc_id % 4 <> 1 AND doc_id % 80 > 64 THEN 'outside_image' END"
 _BRIGHT = "CASE WHEN doc_id % 220 - 110 NOT BETWEEN -100 AND 100 THEN 'brightness_out_of_range' END"
+_BRIGHT_TAG = "CASE WHEN doc_id % 220 = 110 THEN '_adj' ELSE concat('_b', doc_id % 220 - 110) END"
 
 
-def _operated(spark, d, operation, suffix=None, params_error=None):
-    files, existing = _batch(spark, d, "png")
-    return _outcome(run_operation(operation, files, existing, lambda path, content, output: len(content) // 3, suffix=suffix, params_error=params_error, read_by_path=False))
+def _operated(spark, d, operation, suffix):
+    """``suffix`` is spelled out for the listing, in terms of ``doc_id``; the operation makes its own."""
+    files, _ = _batch(spark, d, "png")
+    existing = v.table(spark, d, "documents").filter("(doc_id % 300) % 10 = 0").selectExpr(f"concat('/in/', doc_id % 300, {suffix}, '.png') AS output")
+    out = ops.run(operation, files, existing, lambda path, content, output: len(content) // 3)
+    return out.select("output", *_outcome(out).columns[:3], F.coalesce("error", F.lit("-")).alias("error"), "bytes_in", F.coalesce("bytes_out", F.lit(-1)).alias("bytes_out"))
 
 
-@query("run_rotate", _OPERATION.format(params="CAST(NULL AS VARCHAR)", first="d_error", second="p_error"))
+@query("run_rotate", _OPERATION.format(suffix="'_rot90'", params="CAST(NULL AS VARCHAR)", first="d_error", second="p_error"))
 def run_rotate(spark, d):
-    return _operated(spark, d, "rotate")
+    return _operated(spark, d, ops.rotate(90), "'_rot90'")
 
 
-@query("run_flip", _OPERATION.format(params="CAST(NULL AS VARCHAR)", first="d_error", second="p_error"))
+@query("run_flip", _OPERATION.format(suffix="'_flipV'", params="CAST(NULL AS VARCHAR)", first="d_error", second="p_error"))
 def run_flip(spark, d):
-    return _operated(spark, d, "flip")
+    return _operated(spark, d, ops.flip("vertical"), "'_flipV'")
 
 
-@query("run_crop", _OPERATION.format(params=_CROP, first="d_error", second="p_error"))
+@query("run_crop", _OPERATION.format(suffix="concat('_crop-', doc_id % 80, 'x10+0+0')", params=_CROP, first="d_error", second="p_error"))
 def run_crop(spark, d):
-    wide = (F.col("ord") % 80).cast("bigint")
-    return _operated(spark, d, "crop", params_error=validate_crop(F.lit(0), F.lit(0), wide, F.lit(10), "width", "height"))
+    return _operated(spark, d, ops.crop(0, 0, (F.col("ord") % 80).cast("bigint"), 10), "concat('_crop-', doc_id % 80, 'x10+0+0')")
 
 
-@query("run_adjust", _OPERATION.format(params=_BRIGHT, first="p_error", second="d_error"))
+@query("run_adjust", _OPERATION.format(suffix=_BRIGHT_TAG, params=_BRIGHT, first="p_error", second="d_error"))
 def run_adjust(spark, d):
-    return _operated(spark, d, "adjust", params_error=validate_adjust((F.col("ord") % 220 - 110).cast("int"), F.lit(0.0), F.lit(0.0), F.lit(1.0)))
+    return _operated(spark, d, ops.adjust((F.col("ord") % 220 - 110).cast("int")), _BRIGHT_TAG)
 
 
-@query("run_resize", _OPERATION.format(params="CASE WHEN doc_id % 9 = 0 THEN 'percent_out_of_range' END", first="d_error", second="p_error").replace(
+_PERCENT = "CASE WHEN doc_id % 9 = 0 THEN '_0pct' ELSE '_50pct' END"
+
+
+@query("run_resize", _OPERATION.format(suffix=_PERCENT, params="CASE WHEN doc_id % 9 = 0 THEN 'percent_out_of_range' END", first="d_error", second="p_error").replace(
     "WHEN NOT sound THEN 'failed' WHEN listed OR r > 1 THEN 'skipped'", "WHEN d_error IS NOT NULL THEN 'failed' WHEN listed THEN 'skipped' WHEN NOT sound THEN 'failed' WHEN r > 1 THEN 'skipped'"
 ).replace("coalesce(d_error, p_error, '-')", "CASE WHEN d_error IS NOT NULL THEN d_error WHEN listed THEN '-' ELSE coalesce(p_error, '-') END"))
 def run_resize(spark, d):
-    percent = F.when(F.col("ord") % 9 == 0, 0.0).otherwise(50.0)
-    return _operated(spark, d, "resize", params_error=validate_resize_percent("width", "height", percent))
+    return _operated(spark, d, ops.resize(percent=F.when(F.col("ord") % 9 == 0, 0.0).otherwise(50.0)), _PERCENT)
+
+
+_TAGGED = """tagged AS (SELECT doc_id, 1 + doc_id % 500 AS w, 1 + doc_id % 300 AS h, doc_id % 10 AS o FROM documents)"""
+
+
+def _tagged(spark, d):
+    """PNG headers with an orientation tag behind the size: 0 to 8, or a file without tags."""
+    k = F.col("doc_id")
+
+    def be(value):
+        return F.lpad(F.hex(value.cast("bigint")), 8, "0")
+
+    head = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), be(1 + k % 500), be(1 + k % 300), F.lit("080200000000000000"))
+    block = F.concat(F.lit("4D4D002A00000008" "0001" "0112" "0003" "00000001"), F.lpad(F.hex(k % 10), 4, "0"), F.lit("0000" "00000000"))
+    chunk = F.concat(F.lit("0000001A" "65584966"), block, F.lit("00000000"))
+    content = F.unhex(F.concat(head, F.when(k % 10 < 9, chunk).otherwise(F.lit("")), F.lit("0000000049454E44AE426082")))
+    rows = v.table(spark, d, "documents").select(k.alias("ord"), F.concat(F.lit("/in/"), k.cast("string"), F.lit(".png")).alias("path"), content.alias("content"))
+    return rows.withColumn("length", F.length("content").cast("bigint"))
+
+
+@query(
+    "plan_rotate_auto",
+    with_views(
+        """SELECT doc_id AS ord, concat('/in/', doc_id, '_auto.png') AS output, CASE WHEN o BETWEEN 5 AND 8 THEN h ELSE w END AS out_width,
+        CASE WHEN o BETWEEN 5 AND 8 THEN w ELSE h END AS out_height, CASE WHEN doc_id % 7 = 0 THEN 'skipped' ELSE '-' END AS status FROM tagged""",
+        _TAGGED,
+    ),
+)
+def plan_rotate_auto(spark, d):
+    """Each file turned by its own tag; upright ones are rewritten, too."""
+    existing = v.table(spark, d, "documents").filter("doc_id % 7 = 0").selectExpr("concat('/in/', doc_id, '_auto.png') AS output")
+    rows = ops.plan(ops.rotate(), _tagged(spark, d), existing)
+    return rows.select("ord", "output", "out_width", "out_height", F.coalesce("status", F.lit("-")).alias("status"))
+
+
+@query(
+    "plan_resize_fit",
+    with_views(
+        """SELECT doc_id AS ord, concat('/out/', doc_id, '_fit-', bw, 'x', bh, '.jpg') AS output,
+        CASE WHEN bw * bh = 0 THEN 'zero_target' ELSE '-' END AS error,
+        CASE WHEN bw * bh = 0 THEN -1 ELSE greatest(1, CAST(round(w * s) AS BIGINT)) END AS out_width,
+        CASE WHEN bw * bh = 0 THEN -1 ELSE greatest(1, CAST(round(h * s) AS BIGINT)) END AS out_height
+        FROM (SELECT *, CASE WHEN bw * bh > 0 THEN least(CAST(bw AS DOUBLE) / w, CAST(bh AS DOUBLE) / h) END AS s FROM (SELECT *, doc_id % 40 AS bw, doc_id % 30 AS bh FROM tagged))""",
+        _TAGGED,
+    ),
+)
+def plan_resize_fit(spark, d):
+    """Boxes that differ by row, some of them empty, into another format and folder."""
+    box = (F.col("ord") % 40).cast("bigint"), (F.col("ord") % 30).cast("bigint")
+    none = v.table(spark, d, "documents").filter("doc_id < 0").selectExpr("text AS output")
+    rows = ops.plan(ops.resize(fit=box, target="jpeg"), _tagged(spark, d), none, output_dir="/out")
+    side = lambda c: F.when(F.col("error").isNull(), F.col(c)).otherwise(-1).alias(c)
+    return rows.select("ord", "output", F.coalesce("error", F.lit("-")).alias("error"), side("out_width"), side("out_height"))
+
+
+@query(
+    "plan_in_place",
+    """SELECT doc_id AS ord, p AS policy, CASE WHEN doc_id % 3 = 0 THEN concat('/in/', doc_id, '.png') WHEN p = 'increment' THEN concat('/in/', doc_id, '_1.png') ELSE concat('/in/', doc_id, '.png') END AS output,
+      CASE WHEN doc_id % 3 = 0 OR p = 'increment' THEN '-' WHEN p = 'skip' THEN 'skipped' ELSE 'failed' END AS status,
+      CASE WHEN doc_id % 3 > 0 AND p = 'replace' THEN 'output_is_input' ELSE '-' END AS error
+    FROM documents, (SELECT unnest(['skip', 'replace', 'increment']) AS p)""",
+)
+def plan_in_place(spark, d):
+    """Conversion into a file's own format: its name is taken by itself, and replacing it is refused."""
+    k = F.col("doc_id")
+    header = F.unhex(F.lit("89504E470D0A1A0A0000000D494844520000000400000004"))
+    files = v.table(spark, d, "documents").select(
+        k.alias("ord"), F.concat(F.lit("/in/"), k.cast("string"), F.when(k % 3 == 0, ".gif").otherwise(".png")).alias("path"), header.alias("content"), F.lit(24).cast("bigint").alias("length"),
+    )
+    none = v.table(spark, d, "documents").filter("doc_id < 0").selectExpr("text AS output")
+    parts = [ops.plan(ops.convert("png"), files, none, policy).select("ord", F.lit(policy).alias("policy"), "output", F.coalesce("status", F.lit("-")).alias("status"), F.coalesce("error", F.lit("-")).alias("error")) for policy in ("skip", "replace", "increment")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(

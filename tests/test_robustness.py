@@ -3,6 +3,7 @@
 import struct
 import subprocess
 import sys
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,7 +126,7 @@ def test_exif_in_webp_and_heif():
 
 
 def test_replaced_keys_may_move_and_repeat(spark):
-    path = f"{shared_dir(spark)}/moved"
+    path = f"{shared_dir(spark)}/moved-{uuid.uuid4().hex}"
     rows = lambda *r: spark.createDataFrame(list(r), "output string, target string, ord int, origin string")
     read = lambda: sorted((r.output, r.target, r.origin) for r in spark.read.parquet(path).collect())
     sinks.write_outputs(rows(("a", "png", 1, "one"), ("b", "png", 2, "one"), ("b", "png", 3, "late"), ("c", "gif", 4, "one")), path)

@@ -1,7 +1,7 @@
 """User functions over whole files: the two places where Python sees an image.
 
-Both run inside tasks over Arrow batches. One batch of binaries has to fit in a Python worker, so
-keep ``spark.sql.execution.arrow.maxRecordsPerBatch`` small where files are large.
+Both run inside tasks over Arrow batches. One batch of binaries has to fit in a Python worker:
+``spark.sql.execution.arrow.maxBytesPerBatch`` bounds it.
 """
 
 from __future__ import annotations
