@@ -29,6 +29,8 @@ FLUSH, RANGE, FAN = 600_000, 1_200_000, 256
 ROWS = 1000
 #: Bound of the ranges (8 bytes each go to the tasks), and sampled keys a range (to the driver, 8 bytes each).
 MOST_RANGES, KEYS = 1 << 19, 16
+#: Most tasks of a round; with more cells a task has several, one after the other.
+MOST_TASKS = 20_000
 #: Rows of a table of counts are dealt over so many copies where candidates ask for them: many may share a word.
 COPIES = 16
 NO_LANG = "und"
@@ -187,7 +189,9 @@ def transducers(docs: DataFrame, least: int = LEAST, flush: int = FLUSH, range_w
     cells = texts.mapInArrow(count, "cell int, blob binary")
     for before, step in zip(steps[:-1], steps[1:]):
         groups = max(1, before * range_words // flush)
-        cells = cells.groupBy("cell", F.pmod(F.xxhash64("blob"), F.lit(groups))).applyInArrow(_again(shared, step), "cell int, blob binary")
+        dealt = cells.withColumn("part", F.pmod(F.xxhash64("blob"), F.lit(groups)))
+        tasks = min(MOST_TASKS, -(-(len(ranges.edges) + 1) // before) * groups)
+        cells = dealt.repartition(tasks, "cell", "part").groupBy("cell", "part").applyInArrow(_again(shared, step), "cell int, blob binary")
 
     def unite(table: pa.Table) -> pa.Table:
         paths, names = _union(table.column("blob").to_pylist())
@@ -200,7 +204,9 @@ def transducers(docs: DataFrame, least: int = LEAST, flush: int = FLUSH, range_w
         return pa.table({"cell": table.column("cell").slice(0, 1), "blob": pa.array([blob], pa.binary()), "langs": [list(sizes)], "sizes": [list(sizes.values())]})
 
     schema = "cell int, blob binary, langs array<string>, sizes array<long>"
-    return cut_lineage(cells.groupBy("cell").applyInArrow(unite, schema)), ranges
+    # As many tasks as ranges: the number follows the data, not a setting.
+    dealt = cells.repartition(min(MOST_TASKS, len(ranges.edges) + 1), "cell")
+    return cut_lineage(dealt.groupBy("cell").applyInArrow(unite, schema)), ranges
 
 
 def _keep(paths: Paths, least: int, ranges: Ranges) -> Paths:
