@@ -198,3 +198,19 @@ def test_tangled_names_run_out(spark):
     plan = [(k, "a.png") for k in range(8)] + [(20, "a_2.png"), (21, "a_2.png")]
     got = values(nm.resolve_increment_all(spark.createDataFrame(plan, PLAN), spark.createDataFrame([], "output string"), last_slot=3), "ord", "output")
     assert got == in_list_order(plan, [], last=3) and sum(v is None for v in got.values()) == 4
+
+
+def test_a_hot_name_among_many_rivals(spark):
+    rng = random.Random(12)
+    stems = ["hot"] * 10 + [f"hot_{n}" for n in range(1, 40)] + [f"hot_{n}_{m}" for n in range(1, 8) for m in (1, 2, 5)]
+    order = rng.sample(range(5000), 900)
+    plan = [(o, rng.choice(stems) + ".png") for o in order]
+    listing = [f"hot_{n}.png" for n in (3, 4, 60, 200)]
+    out = nm.resolve_increment_all(spark.createDataFrame(plan, PLAN), spark.createDataFrame([(o,) for o in listing], "output string"), lanes=4)
+    assert values(out, "ord", "output") == in_list_order(sorted(plan), listing)
+    assert "Pandas" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_without_a_name_get_none(spark):
+    plan = spark.createDataFrame([(1, None), (2, "a.png"), (3, None)], PLAN)
+    assert values(nm.resolve_increment_all(plan, spark.createDataFrame([], "output string")), "ord", "output") == {1: None, 2: "a.png", 3: None}

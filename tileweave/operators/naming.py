@@ -6,7 +6,6 @@ number of inputs, so nothing here groups a name's inputs in one task without a b
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage
@@ -110,61 +109,75 @@ def _name_table(plan: DataFrame) -> DataFrame:
     return known.select("naive", "first", F.col("_asked").alias("parent"), F.when(F.col("_asked").isNotNull(), F.col("number")).alias("number"))
 
 
-def _in_turn(last_slot: int):
-    """Slots of one name in list order: a slot is gone if it is listed, or asked for as a name by an earlier row."""
+def _ranks(plan: DataFrame, rivals: DataFrame, lanes: int, last_slot: int) -> DataFrame:
+    """Adds ``before`` to rivals (``naive, slot, child, first``): rows of ``naive`` earlier than ``first``, as far as they can get a slot.
 
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        blocks, inputs = rows[rows["slot"].notna()], rows[rows["slot"].isna()].sort_values("ord")
-        gone = {int(s): (None if pd.isna(o) else int(o)) for s, o in zip(blocks["slot"], blocks["ord"]) if pd.notna(o)}
-        gone |= {int(s): None for s, o in zip(blocks["slot"], blocks["ord"]) if pd.isna(o)}
-        slot, slots = 0, []
-        for o in inputs["ord"]:
-            while slot <= last_slot and slot in gone and (gone[slot] is None or gone[slot] < o):
-                slot += 1
-            slots.append(slot if slot <= last_slot else None)
-            slot += slot <= last_slot
-        return pd.DataFrame({"ord": inputs["ord"].astype("int64"), "naive": inputs["naive"], "slot": pd.array(slots, "Int64")})
+    Only a name's first ``last_slot + 1`` rows matter; those are the first of their lanes, too, so no task sees more of
+    a name than ``lanes`` times as many.
+    """
+    rows = plan.select("naive", F.col("ord").cast("bigint").alias("_at")).join(rivals.select("naive").distinct(), "naive", "left_semi")
+    lane = F.pmod(F.xxhash64("_at"), F.lit(lanes))
+    near = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("naive", lane).orderBy("_at"))).filter(F.col("_nth") <= last_slot + 1)
+    near = near.withColumn("_nth", F.row_number().over(Window.partitionBy("naive").orderBy("_at"))).filter(F.col("_nth") <= last_slot + 1)
+    events = near.select("naive", "_at", F.lit(1).alias("_row")).unionByName(
+        rivals.select("naive", "slot", "child", F.col("first").cast("bigint").alias("_at"), F.lit(0).alias("_row")), allowMissingColumns=True
+    )
+    upto = Window.partitionBy("naive").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return events.withColumn("before", F.sum("_row").over(upto)).filter("_row = 0").select("naive", "slot", "child", "before")
 
-    return place
+
+def _settle(rivals: DataFrame, taken: DataFrame) -> DataFrame:
+    """``naive, slot`` pairs that rivals decide: slots a name loses to the name spelled like them, and first slots lost to a parent.
+
+    The row that reaches slot s of a name has a rank of s less the slots gone before it. Listed slots are gone for
+    all; a rival's slot is gone if the rival's first row comes before that row, which is if no more rivals went
+    before than s, less the listed slots before it, less the rows earlier than the rival. So the count of gone rivals
+    is a fold of steps ``k + 1 if k <= margin else k`` over the name's rivals in order of slots, of which there
+    are at most ``LAST_SLOT``. A slot that is not gone is the name's, and its rival has lost its own first one, which
+    has to be known before the rival's turn: names settle parents first.
+    """
+    settled = taken.limit(0)
+    level, lost = rivals.join(rivals.select(F.col("child").alias("naive")), "naive", "left_anti"), taken.limit(0)
+    while True:
+        level = cut_lineage(level)
+        if level.isEmpty():
+            return settled
+        always = taken.join(level.select("naive").distinct(), "naive", "left_semi").select("naive", "slot").union(lost).distinct()
+        open_ = level.join(always, ["naive", "slot"], "left_anti")
+        below = Window.partitionBy("naive").orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        marked = always.withColumn("_gone", F.lit(1)).unionByName(open_.withColumn("_gone", F.lit(0)), allowMissingColumns=True)
+        margins = marked.withColumn("margin", F.col("slot") - F.sum("_gone").over(below) - F.col("before")).filter("_gone = 0")
+        steps = F.sort_array(F.collect_list(F.struct("slot", "margin", "child")))
+        start = F.struct(F.lit(0).cast("bigint").alias("k"), F.expr("cast(array() as array<int>)").alias("slots"))
+
+        def step(state, rival):
+            return F.when(state["k"] <= rival["margin"], F.struct((state["k"] + 1).alias("k"), F.concat(state["slots"], F.array(rival["slot"])).alias("slots"))).otherwise(state)
+
+        folded = margins.groupBy("naive").agg(steps.alias("_steps")).withColumn("_slots", F.aggregate("_steps", start, step, lambda state: state["slots"]))
+        decided = cut_lineage(folded.select("naive", F.explode("_steps").alias("_r"), "_slots").select(
+            "naive", F.col("_r.slot").alias("slot"), F.col("_r.child").alias("child"), F.array_contains("_slots", F.col("_r.slot")).alias("gone")
+        ))
+        lost = decided.filter("NOT gone").select(F.col("child").alias("naive"), F.lit(0).alias("slot"))
+        settled = settled.union(decided.filter("gone").select("naive", "slot")).union(lost)
+        level = rivals.join(level.select(F.col("child").alias("naive")), "naive", "left_semi")
 
 
 def resolve_increment_all(plan: DataFrame, existing: DataFrame, lanes: int = 256, last_slot: int = LAST_SLOT) -> DataFrame:
     """``output`` for every plan row, as if the rows took their names one after the other in order of ``ord``.
 
     A row takes the first free output among its name and the numbered siblings; one that finds all
-    ``last_slot + 1`` taken gets null. ``existing`` has one column, ``output``. Names that are another name's
+    ``last_slot + 1`` taken gets null, as does a row without a name. ``existing`` has one column, ``output``. Names that are another name's
     numbered sibling compete with it: slot n of ``name`` goes to ``name_n`` exactly if the first row that asks
-    for that is earlier than the row of ``name`` whose turn it would be. So names without such relations are
-    placed at once, the others parents before children. Of a name, only rows among the first
-    ``last_slot + 1`` of their lane can get a slot, which bounds what meets in one task.
+    for that is earlier than the row of ``name`` whose turn it would be. Which slots that concerns is settled
+    first, from ranks and first rows of the names alone; with those slots gone, every row's place follows from its
+    rank (``resolve_increment``), in one pass over all rows.
     """
     names = cut_lineage(_name_table(plan))
-    related = names.filter("parent IS NOT NULL").select("naive").union(names.filter("parent IS NOT NULL").select(F.col("parent").alias("naive"))).distinct()
     taken = taken_slots(existing.select("output")).filter(F.col("slot").between(0, last_slot)).distinct()
-    rows = plan.select("ord", "naive")
-    plain = resolve_increment(rows.join(related, "naive", "left_anti"), taken.join(related, "naive", "left_anti"), lanes, last_slot)
-    placed = [plain.select("ord", "naive", F.col("slot").cast("bigint").alias("slot"))]
-    local = F.row_number().over(Window.partitionBy("naive", F.pmod(F.xxhash64("ord"), F.lit(lanes))).orderBy("ord"))
-    tangled = cut_lineage(rows.join(related, "naive", "left_semi").withColumn("_local", local).filter(F.col("_local") <= last_slot + 1).select("ord", "naive"))
-    level = names.filter("parent IS NULL").join(related, "naive", "left_semi")
-    lost = tangled.select("naive").limit(0)
-    while True:
-        level = cut_lineage(level)
-        if level.isEmpty():
-            break
-        here, children = level.select("naive"), names.join(level.select(F.col("naive").alias("parent")), "parent", "left_semi")
-        always = taken.join(here, "naive", "left_semi").select("naive", "slot").union(lost.select("naive", F.lit(0)))
-        rivals = children.select(F.col("parent").alias("naive"), F.col("number").alias("slot"), F.col("first").alias("ord"))
-        blocks = always.withColumn("ord", F.lit(None).cast("bigint")).unionByName(rivals)
-        wanted = tangled.join(here, "naive", "left_semi").withColumn("slot", F.lit(None).cast("int"))
-        turns = wanted.select("naive", "slot", F.col("ord").cast("bigint").alias("ord")).unionByName(blocks)
-        result = cut_lineage(turns.groupBy("naive").applyInPandas(_in_turn(last_slot), "ord bigint, naive string, slot bigint"))
-        placed.append(result)
-        held = result.select(F.col("naive").alias("parent"), F.col("slot").cast("int").alias("number"))
-        lost = children.join(held, ["parent", "number"], "left_semi").select("naive")
-        level = children
-    every = placed[0]
-    for part in placed[1:]:
-        every = every.unionByName(part)
-    every = every.filter("slot IS NOT NULL").select("ord", slot_name("naive", "slot").alias("output"))
+    rivals = names.filter("parent IS NOT NULL").filter(F.col("number") <= last_slot)
+    rivals = rivals.select(F.col("parent").alias("naive"), F.col("number").alias("slot"), F.col("naive").alias("child"), "first")
+    if not rivals.isEmpty():
+        taken = taken.union(_settle(cut_lineage(_ranks(plan, rivals, min(lanes, LANES), last_slot)), taken)).distinct()
+    placed = resolve_increment(plan.select("ord", "naive").filter("naive IS NOT NULL"), taken, lanes, last_slot)
+    every = placed.filter("slot IS NOT NULL").select("ord", slot_name("naive", "slot").alias("output"))
     return plan.join(every, "ord", "left")
