@@ -1,3 +1,4 @@
+import itertools
 import random
 
 from tileweave.llm import decontam
@@ -21,10 +22,9 @@ def brute(docs, items, window=20, least=16):
             a, b = cut(text), cut(item)
             for diagonal in range(-len(b) + 1, len(a)):
                 eq = [int(a[i + diagonal] == b[i]) for i in range(max(0, -diagonal), min(len(b), len(a) - diagonal))]
-                seeds = any(all(eq[p + o] for o, bit in enumerate(m) if bit == "1") for m in decontam.MASKS for p in range(len(eq) - len(m) + 1))
                 n = min(window, len(b))
                 best = max((sum(eq[p : p + n]) for p in range(len(eq) - n + 1)), default=0)
-                if seeds and best * window >= n * least:
+                if n and best * window >= n * least:
                     out[d, k] = max(out.get((d, k), (0, 0)), (best, n))
     return out
 
@@ -45,16 +45,40 @@ def test_against_all_diagonals(spark):
     found = decontam.leaks(documents(spark, docs), spark.createDataFrame(items, ITEMS))
     got = {(r.doc_id, r.item_id): (r.n_equal, r.n_aligned) for r in found.collect()}
     assert got == brute(docs, items) and len(got) > 5
-    shuffled = decontam.leaks(documents(spark, docs), spark.createDataFrame(items, ITEMS), broadcast_rows=0)
-    assert {(r.doc_id, r.item_id): (r.n_equal, r.n_aligned) for r in shuffled.collect()} == got
+    blocks = decontam.leaks(documents(spark, docs), spark.createDataFrame(items, ITEMS), block_seeds=100)
+    assert {(r.doc_id, r.item_id): (r.n_equal, r.n_aligned) for r in blocks.collect()} == got
+
+
+def test_masks_hit_every_admitted_pattern():
+    for n in range(1, decontam.WINDOW + 1):
+        for wrong in itertools.combinations(range(n), n // 5):
+            equal = [i not in wrong for i in range(n)]
+            assert any(
+                all(equal[at + k] for k, bit in enumerate(m) if bit == "1") for m in decontam.masks_for(n) for at in range(n - len(m) + 1)
+            ), (n, wrong)
+
+
+def test_short_items_and_regular_substitutions(spark):
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in (1, 2, 4, 5, 6, 7, 8, 10, 11, 12, 15, 19, 20, 45)]
+    docs = []
+    for n, text in items:
+        for step in (2, 3, 4, 5, 6):
+            for start in range(step):
+                words = text.split()
+                for k in range(start, n, step):
+                    words[k] = "z"
+                docs.append((len(docs), "a b " + " ".join(words) + " c d"))
+        docs.append((len(docs), text))
+    found = decontam.leaks(documents(spark, docs), spark.createDataFrame(items, ITEMS)).collect()
+    assert {(r.doc_id, r.item_id): (r.n_equal, r.n_aligned) for r in found} == brute(docs, items)
 
 
 def test_edges(spark):
     item = " ".join(made(9, 40))
-    rows = [(1, item), (2, None), (3, ""), (4, "clean " * 50), (None, item), (5, "x " * 20_000 + item), (1, item), (6, " ".join(item.split()[:6]))]
-    bench = spark.createDataFrame([(1, item), (1, item), (2, None), (None, "clean " * 50), (3, "too few")], ITEMS)
+    rows = [(1, item), (2, None), (3, ""), (4, "clean " * 50), (None, item), (5, "x " * 20_000 + item), (1, item), (6, " ".join(item.split()[:6])), (7, "not TOO few")]
+    bench = spark.createDataFrame([(1, item), (1, item), (2, None), (None, "clean " * 50), (3, "too few"), (4, " ...")], ITEMS)
     docs = clashing(documents(spark, rows))
-    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()} == {(1, 1), (5, 1)}
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()} == {(1, 1), (5, 1), (7, 3)}
     left = decontam.decontaminate(docs, bench)
     assert sorted((r.doc_id for r in left.collect()), key=repr) == sorted([2, 3, 4, None, 6], key=repr) and left.columns == docs.columns
     assert decontam.leaks(documents(spark, []), bench).count() == 0

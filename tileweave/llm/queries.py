@@ -59,10 +59,9 @@ with b as (select distinct item_id, list_filter(list_transform(regexp_split_to_a
         lambda w: trim(w, '.,;:!?"''()')), lambda w: w <> '') as w from benchmark where item_id is not null and text is not null),
 d as (select doc_id, list_filter(list_transform(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'),
         lambda w: trim(w, '.,;:!?"''()')), lambda w: w <> '') as w from documents where doc_id is not null and text is not null),
-masks(m, offs) as (values (0, [0,1,2,3,4,5,6]), (1, [0,1,3,4,6,7,9]), (2, [0,1,3,6,7,9,10])),
-bs as (select item_id, m, p, list_transform(offs, lambda o: w[p + o]) as k from (select item_id, w, unnest(range(1, len(w) + 1)) as p from b), masks where p + offs[7] <= len(w)),
-ds as (select doc_id, m, p, list_transform(offs, lambda o: w[p + o]) as k from (select doc_id, w, unnest(range(1, len(w) + 1)) as p from d), masks where p + offs[7] <= len(w)),
-hits as (select distinct doc_id, item_id, ds.p - bs.p as diag from ds join bs using (m, k)),
+bp as (select item_id, least(len(w), 20) as n, w[p] as t, p from (select item_id, w, unnest(range(1, len(w) + 1)) as p from b)),
+dp as (select doc_id, w[p] as t, p from (select doc_id, w, unnest(range(1, len(w) + 1)) as p from d)),
+hits as (select doc_id, item_id, dp.p - bp.p as diag from dp join bp using (t) group by doc_id, item_id, diag having count(*) * 20 >= any_value(n) * 16),
 eq as (select h.doc_id, h.item_id, h.diag, least(len(b.w), 20) as n, list_transform(range(greatest(1, 1 - h.diag), least(len(b.w), len(d.w) - h.diag) + 1), lambda i: case when d.w[i + h.diag] = b.w[i] then 1 else 0 end) as e
        from hits h join b using (item_id) join d using (doc_id)),
 best as (select doc_id, item_id, n, list_max(list_transform(range(1, len(e) - n + 2), lambda i: list_sum(e[i:i + n - 1]))) as s from eq where len(e) >= n)
