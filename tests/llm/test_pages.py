@@ -51,19 +51,44 @@ def brute(streams, depth, share, least):
     return out
 
 
-def test_suffix_order_against_all_windows():
-    rng = random.Random(1)
-    common = [str(k) for k in range(9)]
-    for depth in (1, 3, 4, 7):
-        streams = []
-        for _ in range(30):
-            s = [rng.choice("abcd") for _ in range(rng.randint(0, 25))]
+def test_names_do_not_cut_articles():
+    cut = pages.blocks_of
+    assert cut(page('<p class="share-price">up</p><section id="notice-of-meeting">now</section><div class="related-work">see</div><p class="share">tweet</p><div id="comments">c</div>')) == ["up", "now", "see"]
+    assert cut('<body><p>outside</p><article class="post widget"><p>inside</p></article>') == ["inside"]
+    assert cut('<main><article><p>the long story</p></article><article><p>teaser</p></article></main>') == ["the long story"]
+    assert cut('<article><p>lead</p><article><p>quoted</p></article><p>rest</p></article>') == ["lead", "quoted", "rest"]
+    assert cut('<article></article><main><p>body</p></main>') == ["body"]
+
+
+def test_suffix_ranks_order_suffixes():
+    rng = np.random.default_rng(1)
+    for depth in (1, 2, 3, 7, 16):
+        joined = rng.integers(0, 3, 120)
+        joined[60:90] = joined[:30]
+        rank = pages.suffix_ranks(joined, depth)
+        heads = [tuple(joined[i : i + depth]) for i in range(120)]
+        order = {h: k for k, h in enumerate(sorted(set(heads)))}
+        assert rank.tolist() == [order[h] for h in heads]
+
+
+def test_live_path_against_all_substrings(spark):
+    """Substrings of 16 tokens and more on pages of one host, in one shard and in many."""
+    rng = random.Random(7)
+    notices = [[f"n{k}x{i}" for i in range(n)] for k, n in enumerate((15, 16, 17, 40))]
+    streams = []
+    for i in range(60):
+        s = [f"u{i}x{j}" for j in range(rng.randint(60, 90))]
+        for notice in notices:
             if rng.random() < 0.4:
-                s[3:3] = common
-            streams.append(s)
-        got = pages.repeated_tokens(streams, depth, 0.2, 3)
-        assert [list(map(bool, g)) for g in got] == brute(streams, depth, 0.2, 3)
-    assert pages.repeated_tokens([]) == [] and [len(x) for x in pages.repeated_tokens([[], ["a"]])] == [0, 1]
+                at = rng.randint(0, len(s))
+                s[at:at] = notice[: rng.choice([len(notice), len(notice), 20])]
+        streams.append(s)
+    want = [" ".join(t for t, gone in zip(s, flags) if not gone) for s, flags in zip(streams, brute([tuple(s) for s in streams], pages.DEPTH, pages.SHARE, pages.LEAST))]
+    assert sum(len(w.split()) for w in want) < 0.9 * sum(map(len, streams))
+    for pad in ("", "<!--" + "x" * 200_000 + "-->"):
+        rows = [(i, f"http://a.org/{i}", page(f"<p>{' '.join(s)}</p>") + pad) for i, s in enumerate(streams)]
+        got = {r.page_id: r.text for r in pages.extract_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+        assert [got[i] for i in range(60)] == want
 
 
 def test_host_boilerplate_goes_and_copies_stay(spark):

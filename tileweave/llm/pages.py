@@ -1,9 +1,11 @@
 """Main text of HTML pages: structure first, then what a host's pages repeat.
 
 Blocks of running text are cut out of the markup, without the parts that structure marks as furniture. A host's
-pages are dealt into shards that only bound memory: runs of ``DEPTH`` tokens are counted, as 64-bit hashes, over
-all distinct pages of the host. Frequent runs are boilerplate, and the tokens between stay. Runs that are mostly
-found on pages which consist of frequent runs by more than half are text of copies and stay on those.
+pages are dealt into shards that only bound memory. The token streams of a shard are concatenated and their suffixes
+ranked by prefix doubling; suffixes of one rank share ``DEPTH`` tokens or more, and the substrings that distinct pages
+of the host repeat are what runs of such suffixes cover. The shards' ranks are merged by the hash of their tokens. Frequent substrings are
+boilerplate, and the tokens between stay. Those that are mostly
+found on pages which consist of frequent ones by more than half are text of copies and stay on those.
 """
 
 from __future__ import annotations
@@ -54,7 +56,8 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))
 _NAME_PARTS = re.compile(r"[a-z]+")
 
 
-def _furniture(name: str, rest: str) -> bool:
+def _furniture(name: str, rest: str, inside: bool) -> bool:
+    """Whether an element is furniture by tag, state, role or name. Inside an article only whole class names and ids count."""
     if name in _FURNITURE:
         return True
     if not rest.strip(" /"):
@@ -64,18 +67,21 @@ def _furniture(name: str, rest: str) -> bool:
         return True
     if found.get("role", "") in _ROLES:
         return True
-    return name not in ("html", "body", "main") and not _NAMES.isdisjoint(_NAME_PARTS.findall(found.get("class", "") + " " + found.get("id", "")))
+    named = found.get("class", "") + " " + found.get("id", "")
+    # Pages and articles are what is looked for, whatever they are called.
+    return name not in ("html", "body", "main", "article") and not _NAMES.isdisjoint(named.split() if inside else _NAME_PARTS.findall(named))
 
 
 def blocks_of(page: str | None) -> list[str]:
     """The blocks of a page's main text in order.
 
-    Text of ``article`` (else ``main``, else the body) counts, without elements that are furniture by tag,
-    role, class or id; headings inside an article's header stay. End tags without a start are ignored;
+    Text of the longest ``article`` (else ``main``, else the body) counts, without elements that are furniture by tag,
+    role, class or id; of equally long articles the first. Headings inside an article's header stay. End tags without a start are ignored;
     unclosed elements end with the page. ``<br>`` is white space.
     """
     page = page or ""
-    out: dict[int, list[str]] = {0: [], 1: [], 2: []}
+    out: dict[int, list[str]] = {0: [], 1: []}
+    articles: list[list[str]] = []
     stack: list[tuple[str, bool]] = []
     buffer: list[str] = []
     hidden, rank, at, seen = 0, 0, 0, False
@@ -84,7 +90,7 @@ def blocks_of(page: str | None) -> list[str]:
         text = " ".join(entities.unescape("".join(buffer)).split())
         buffer.clear()
         if text:
-            out[rank].append(text)
+            (articles[-1] if rank == 2 else out[rank]).append(text)
 
     def shown():
         if not hidden:
@@ -118,11 +124,13 @@ def blocks_of(page: str | None) -> list[str]:
         elif name not in _VOID:
             if name in _BLOCK and stack and stack[-1][0] in _CLOSED_BY_BLOCK:
                 stack.pop()
-            skip = _furniture(name, m["rest"] or "")
+            skip = _furniture(name, m["rest"] or "", rank == 2)
             if name in ("article", "main") and not skip and not seen and not any(h and n in _OPEN_ENDED for n, h in stack):
                 # The first article of a page is not part of furniture that was left open before it.
                 stack, hidden = [], 0
                 seen = name == "article"
+            if name == "article" and not any(n == "article" for n, _ in stack):
+                articles.append([])
             if not (m["rest"] or "").endswith("/") or name in _BLOCK:
                 stack.append((name, skip))
                 hidden += skip
@@ -130,22 +138,11 @@ def blocks_of(page: str | None) -> list[str]:
     if at < len(page) and shown():
         buffer.append(page[at:])
     flush()
-    return out[2] or out[1] or out[0]
+    return max(articles, key=lambda blocks: sum(map(len, blocks)), default=None) or out[1] or out[0]
 
 
-def repeated_tokens(streams: list[list[str]], depth: int = DEPTH, share: float = SHARE, least: int = LEAST) -> list[np.ndarray]:
-    """For each page's tokens, which of them lie in a substring of ``depth`` tokens that many different pages share.
-
-    Pages with equal streams count as one page.
-    """
-    ids: dict[str, int] = {}
-    coded = [np.array([ids.setdefault(t, len(ids) + 1) for t in s], np.int64) for s in streams]
-    first: dict[bytes, int] = {}
-    content = np.array([first.setdefault(c.tobytes(), len(first)) for c in coded], np.int64)
-    gap = np.zeros(1, np.int64)
-    joined = np.concatenate([x for c in coded for x in (c, gap)]) if coded else gap
-    page = np.repeat(np.arange(len(coded)), [len(c) + 1 for c in coded])
-    # Prefix doubling: the rank of each suffix by its first 2, 4, ... tokens; blanks keep pages apart.
+def suffix_ranks(joined: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """The rank of the suffix at each position by its first ``depth`` numbers: prefix doubling, 1, 2, 4, ... at a time."""
     rank, reach = np.unique(joined, return_inverse=True)[1].astype(np.int64), 1
     while reach < depth:
         step = min(reach, depth - reach)
@@ -153,20 +150,7 @@ def repeated_tokens(streams: list[list[str]], depth: int = DEPTH, share: float =
         ahead[: max(len(rank) - step, 0)] = rank[step:] + 1
         rank = np.unique(rank * (len(rank) + 2) + ahead, return_inverse=True)[1].astype(np.int64)
         reach += step
-    blank = np.concatenate([[0], np.cumsum(joined == 0)])
-    start = np.flatnonzero(blank[np.minimum(np.arange(len(joined)) + depth, len(joined))] == blank[: len(joined)])
-    start = start[start + depth <= len(joined)]
-    covered = np.zeros(len(joined) + 1, np.int64)
-    if len(start):
-        # Neighbours in suffix order with equal first tokens, from different pages.
-        key = np.unique(np.stack([rank[start], content[page[start]]], 1), axis=0)
-        frequent = np.flatnonzero(np.bincount(key[:, 0]) >= max(least, share * len(first)))
-        hit = start[np.isin(rank[start], frequent)]
-        np.add.at(covered, hit, 1)
-        np.add.at(covered, hit + depth, -1)
-    covered = np.cumsum(covered[:-1]) > 0
-    ends = np.cumsum([len(c) + 1 for c in coded])
-    return [covered[e - len(c) - 1 : e - 1] for c, e in zip(coded, ends)]
+    return rank
 
 
 def unique_text(blocks: list[str], covered: np.ndarray, whole: float = WHOLE) -> str:
@@ -190,7 +174,10 @@ def host_of(url):
 
 
 class _Shard:
-    """The pages of one row of ``_packed``, with the hash and the page of each run of ``DEPTH`` tokens."""
+    """The pages of one row of ``_packed``: the concatenated streams, and of each suffix of ``DEPTH`` tokens or more its page and code.
+
+    Suffixes of equal rank have one code, the hash of their first ``DEPTH`` tokens, which other shards share.
+    """
 
     def __init__(self, blob: bytes, contents: list[int]):
         self.table = pa.ipc.open_stream(blob).read_all()
@@ -199,13 +186,13 @@ class _Shard:
         self.ends = np.cumsum([0] + [len(t) for t in tokens])
         page = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
         codes, words = pd.factorize(np.array([t for ts in tokens for t in ts], object))
-        word = pd.util.hash_array(words, categorize=False)[codes]
         runs = max(len(page) - DEPTH + 1, 0)
-        code = np.zeros(runs, np.uint64)
-        for k in range(DEPTH):
-            code = code * np.uint64(0x9E3779B97F4A7C15) + word[k : k + runs]
         self.start = np.flatnonzero(page[:runs] == page[DEPTH - 1 : DEPTH - 1 + runs])
-        self.code, self.page = code[self.start].view(np.int64), page[self.start]
+        ranks, first, rank = np.unique(suffix_ranks(codes)[self.start], return_index=True, return_inverse=True)
+        word, code = pd.util.hash_array(words, categorize=False), np.zeros(len(ranks), np.uint64)
+        for k in range(DEPTH):
+            code = code * np.uint64(0x9E3779B97F4A7C15) + word[codes[self.start[first] + k]]
+        self.code, self.page = code.view(np.int64)[rank], page[self.start]
         self.content = np.array(contents, np.int64)
 
     def pairs(self, hit) -> pd.DataFrame:
@@ -296,8 +283,8 @@ def _frequent(shards: DataFrame) -> tuple[DataFrame, int]:
 def extract_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row: the main text, blocks joined by line breaks.
 
-    Null html gives an empty text; a null url or one without ``://`` belongs to the empty host. Repeated
-    rows each give a row and count as one page when substrings are counted. Columns besides ``page_id, url,
+    Null html gives an empty text; a null url or one without ``://`` belongs to the empty host; an empty table gives no rows;
+    very long pages are read whole. Repeated rows each give a row and count as one page when substrings are counted. Columns besides ``page_id, url,
     html`` are ignored.
     """
     kinds = {f.name: f.dataType for f in pages.schema}
