@@ -149,6 +149,21 @@ def admitted_set(spark, d):
     return audit.admitted(v.manifest(spark, d)).select("ord", "path")
 
 
+@query(
+    "admit_unknown",
+    with_views(
+        """SELECT ord, CASE WHEN ord % 5 <> 0 AND length > 1073741824 THEN 'too_many_bytes' WHEN ord % 5 = 0 THEN 'unreadable_file'
+        WHEN ord % 7 = 0 OR ord % 3 = 0 THEN 'unreadable_header' WHEN CAST(width AS BIGINT) * height > 268435456 THEN 'too_many_pixels' ELSE 'ok' END AS verdict FROM manifest""",
+        MANIFEST,
+    ),
+)
+def admit_unknown(spark, d):
+    """Files whose length or sides are not known are never admitted."""
+    k = F.col("ord")
+    rows = v.manifest(spark, d).withColumns({"length": F.when(k % 5 != 0, F.col("length")), "width": F.when(k % 7 != 0, F.col("width")), "height": F.when(k % 3 != 0, F.col("height"))})
+    return audit.with_admission(rows).select("ord", F.coalesce("admit_error", F.lit("ok")).alias("verdict"))
+
+
 @query(
     "image_properties",
     with_views(

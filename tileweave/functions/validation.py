@@ -14,9 +14,15 @@ U32_MAX = 4294967295
 
 
 def admit(length, width, height) -> Column:
-    """``too_many_bytes`` or ``too_many_pixels``, in that order; exactly at a cap still passes."""
+    """``too_many_bytes`` or ``too_many_pixels``, in that order; exactly at a cap still passes.
+
+    A file of unknown size may be any bomb: without a length it is an ``unreadable_file``, without sides an ``unreadable_header``.
+    """
     pixels = as_col(width).cast("bigint") * as_col(height).cast("bigint")
-    return F.when(as_col(length) > MAX_INPUT_BYTES, "too_many_bytes").when(pixels > MAX_PIXELS, "too_many_pixels")
+    return (
+        F.when(as_col(length) > MAX_INPUT_BYTES, "too_many_bytes").when(as_col(length).isNull(), "unreadable_file")
+        .when(pixels > MAX_PIXELS, "too_many_pixels").when(pixels.isNull(), "unreadable_header")
+    )
 
 
 def _outside(value: Column, low: float, high: float) -> Column:

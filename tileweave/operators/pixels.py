@@ -176,27 +176,26 @@ def crop(px: DataFrame, x, y, width, height) -> DataFrame:
 def overlay_on_canvas(px: DataFrame, canvas_width, canvas_height, dx, dy, image_id: str = "image_id") -> DataFrame:
     """Every image on its own transparent canvas, shifted by (dx, dy); overhanging pixels are cut.
 
-    The parameters may be columns that are constant per image. The canvas is the shifted pixels plus an empty
-    frame around the image's rectangle. The frame comes from one row per image, its lines before its cells, so
-    that no task makes a whole canvas out of one row.
+    The parameters may be columns that are constant per image. The canvas is the shifted pixels over an empty
+    frame, one aggregation by cell deciding for the pixel, so holes in an image are empty cells. The frame comes from one row per image, its
+    lines before its cells, so that no task makes a whole canvas out of one row.
     """
     cw, ch, ox, oy = (as_col(v).cast("bigint") for v in (canvas_width, canvas_height, dx, dy))
     placed = px.select(
-        image_id, "r", "g", "b", "a", cw.alias("_cw"), ch.alias("_ch"), ox.alias("_dx"), oy.alias("_dy"),
-        F.col("width").cast("bigint").alias("_fw"), F.col("height").cast("bigint").alias("_fh"),
-        (F.col("x") + ox).alias("x"), (F.col("y") + oy).alias("y"),
+        image_id, "r", "g", "b", "a", cw.alias("_cw"), ch.alias("_ch"), (F.col("x") + ox).alias("x"), (F.col("y") + oy).alias("y"),
     )
-    extent = ["_cw", "_ch", "_dx", "_dy", "_fw", "_fh"]
-    images = placed.groupBy(image_id).agg(*[F.max(c).alias(c) for c in extent])
+    images = placed.groupBy(image_id).agg(F.max("_cw").alias("_cw"), F.max("_ch").alias("_ch"))
     zero = F.lit(0).cast("bigint")
     lines = images.withColumn("y", F.explode(F.sequence(zero, F.col("_ch") - 1))).repartition(image_id, "y")
-    frame = lines.withColumn("x", F.explode(F.sequence(zero, F.col("_cw") - 1))).filter(
-        ~((F.col("x") >= F.col("_dx")) & (F.col("x") < F.col("_dx") + F.col("_fw")) & (F.col("y") >= F.col("_dy")) & (F.col("y") < F.col("_dy") + F.col("_fh")))
-    )
+    frame = lines.withColumn("x", F.explode(F.sequence(zero, F.col("_cw") - 1)))
     on_canvas = (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < F.col("_cw")) & (F.col("y") < F.col("_ch"))
-    shown = placed.filter(on_canvas).withColumns({c: F.when(F.col("a") > 0, F.col(c)).otherwise(0) for c in "rgba"})
+    shown = placed.filter(on_canvas & (F.col("a") > 0))
     both = shown.unionByName(frame.withColumns({c: F.lit(0) for c in "rgba"}))
-    return both.select(
+    # A cell's two rows, pixel and frame, meet at one integer: samples are bytes, and a shown pixel has alpha above 0.
+    packed = F.col("a").cast("bigint") * 16777216 + F.col("r") * 65536 + F.col("g") * 256 + F.col("b")
+    cells = both.groupBy(image_id, "x", "y", "_cw", "_ch").agg(F.max(packed).alias("_v"))
+    sample = {c: F.shiftright("_v", bits).bitwiseAND(255) for c, bits in (("a", 24), ("r", 16), ("g", 8), ("b", 0))}
+    return cells.withColumns(sample).select(
         image_id, F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), *[F.col(c).cast("int").alias(c) for c in "rgba"],
         F.col("_cw").cast("int").alias("width"), F.col("_ch").cast("int").alias("height"),
     )
