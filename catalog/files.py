@@ -15,6 +15,7 @@ from tileweave.plans import operations as ops
 from tileweave.plans.conversion import run_conversion
 from tileweave.session import shared_dir
 from tileweave.sources import exif, files as fl, sinks
+from tileweave.sources.keyed import KeyedTable
 
 from . import views as v
 from .registry import query
@@ -121,6 +122,26 @@ def scan_decoded(spark, d):
     return images.select("name", "width", "height", F.col("nChannels").alias("channels"), "status")
 
 
+@query(
+    "keyed_outputs",
+    with_views(
+        """SELECT ord AS output, CASE WHEN ord % 12 = 0 THEN 'replaced' WHEN ord % 2 = 0 THEN 'first' ELSE 'second' END AS origin, CASE WHEN ord % 3 = 0 THEN 'jpeg' ELSE 'png' END AS target
+        FROM manifest WHERE ord % 15 <> 4""",
+        MANIFEST,
+    ),
+)
+def keyed_outputs(spark, d):
+    """Even rows, then all that are new, then some replaced and some deleted: deltas of a keyed table, half of its buckets compacted."""
+    rows = v.manifest(spark, d).select(F.col("ord").alias("output"), F.when(F.col("ord") % 3 == 0, "jpeg").otherwise("png").alias("target"))
+    table = KeyedTable(spark, f"{shared_dir(spark)}/keyed-{uuid.uuid4().hex}", buckets=16)
+    table.upsert(rows.filter("output % 2 = 0").withColumn("origin", F.lit("first")))
+    table.insert_new(rows.withColumn("origin", F.lit("second")))
+    table.compact(set(range(8)))
+    table.upsert(rows.filter("output % 12 = 0").withColumn("origin", F.lit("replaced")))
+    table.delete(rows.filter("output % 15 = 4"))
+    return table.read().select("output", "origin", "target")
+
+
 _LEVELS = """levels AS (
   SELECT vec_id // 256 AS sheet, p, CAST(least(greatest(floor((CAST(embedding[p + 1] AS DOUBLE) + 0.5e0) * 255), 0), 255) AS INTEGER) AS q
   FROM embeddings, (SELECT unnest(range(0, 64)) AS p))"""
