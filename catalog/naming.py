@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tileweave.functions import paths as pth
 from tileweave.operators import naming as nm, ordering as od, tone
+from tileweave.streaming.naming import drain_names
 
 from . import views as v
 from .registry import query
@@ -206,6 +207,24 @@ def resolve_increment_unique(spark, d):
     return nm.resolve_increment_all(plan, listing).select("ord", "output")
 
 
+@query(
+    "stream_naming",
+    with_views(
+        """SELECT ord, concat('/out/g', c, CASE WHEN child THEN '_1' ELSE '' END, CASE WHEN slot = 0 THEN '' ELSE concat('_', slot) END, '.png') AS output
+        FROM cross_slots""",
+        _CROSS,
+    ),
+)
+def stream_naming(spark, d):
+    """The same names from a stream with keyed state: orders are read as a stream and drained."""
+    schema = v.table(spark, d, "orders").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(d)
+    k, c = F.col("o_orderkey"), (F.col("o_custkey") % 5000).cast("string")
+    plan = stream.select(k.alias("ord"), F.concat(F.lit("/out/g"), c, F.when(k % 4 == 0, "_1.png").otherwise(".png")).alias("naive"))
+    listing = v.table(spark, d, "orders").filter("o_custkey % 5000 % 3 = 0").select(F.concat(F.lit("/out/g"), c, F.lit("_2.png")).alias("output")).distinct()
+    return drain_names(plan, listing).select("ord", "output")
+
+
 @query(
     "increment_rank",
     with_views("SELECT ord, naive, row_number() OVER (PARTITION BY naive ORDER BY ord) AS increment_rank FROM plan", NAME_PLAN),
