@@ -251,6 +251,47 @@ query("resample_premultiplied", _convolution("lanczos3", 7, 5, premultiply=True)
 )
 
 
+# Sizes differ by frame, so weights are kept by source and target size.
+_AXIS = """
+  {axis}_grid AS (
+    SELECT n, m, s, t, ((s + 0.5e0) - (t + 0.5e0) * n / m) / greatest(n / CAST(m AS DOUBLE), 1) AS d
+    FROM (SELECT DISTINCT {side} AS n, {target} AS m FROM fit), (SELECT unnest(range(0, 16)) AS s), (SELECT unnest(range(0, 16)) AS t) WHERE s < n AND t < m),
+  {axis}_raw AS (SELECT n, m, s, t, CASE WHEN n = m THEN CASE WHEN s = t THEN 1.0e0 ELSE 0 END ELSE {kernel} END AS w FROM {axis}_grid),
+  {axis}_weights AS (SELECT n, m, s, t, w / sum(w) OVER (PARTITION BY n, m, t) AS w FROM {axis}_raw)"""
+_SUMS = ", ".join(f"sum(w * {c}) AS {c}" for c in "rgba")
+_SHOWN = ", ".join(f"CASE WHEN v.a > 0 THEN v.{c} ELSE 0 END AS {c}" for c in "rgba")
+
+
+@query(
+    "normalise_frames",
+    with_views(
+        f"""SELECT f.image_id, CAST(cx AS INTEGER) AS x, CAST(cy AS INTEGER) AS y, {_SHOWN}, CAST(cw AS INTEGER) AS width, CAST(ch AS INTEGER) AS height
+        FROM fit f, (SELECT unnest(range(0, 16)) AS cx), (SELECT unnest(range(0, 16)) AS cy)
+        LEFT JOIN shown v ON v.image_id = f.image_id AND v.x = cx - (cw - sw) // 2 AND v.y = cy - (ch - sh) // 2 WHERE cx < cw AND cy < ch""",
+        PX,
+        """canvas AS (SELECT image_id, width, height, first_value(width) OVER w AS cw, first_value(height) OVER w AS ch
+          FROM (SELECT DISTINCT image_id, width, height FROM px) WINDOW w AS (PARTITION BY image_id // 4 ORDER BY image_id))""",
+        """fit AS (SELECT *, CASE WHEN width > cw OR height > ch THEN greatest(CAST(round(width * z) AS INTEGER), 1) ELSE width END AS sw,
+            CASE WHEN width > cw OR height > ch THEN greatest(CAST(round(height * z) AS INTEGER), 1) ELSE height END AS sh
+          FROM (SELECT *, least(cw / CAST(width AS DOUBLE), ch / CAST(height AS DOUBLE)) AS z FROM canvas))""",
+        _AXIS.format(axis="h", side="width", target="sw", kernel=_KERNEL_SQL["lanczos3"][1]),
+        _AXIS.format(axis="v", side="height", target="sh", kernel=_KERNEL_SQL["lanczos3"][1]),
+        f"""horizontal AS (SELECT px.image_id, t AS x, y, px.height, sh, {_SUMS} FROM px JOIN fit USING (image_id) JOIN h_weights ON n = px.width AND m = sw AND s = x
+          GROUP BY px.image_id, t, y, px.height, sh)""",
+        f"""vertical AS (SELECT image_id, x, t AS y, {_SUMS} FROM horizontal JOIN v_weights ON n = height AND m = sh AND s = y GROUP BY image_id, x, t)""",
+        "shown AS (SELECT image_id, x, y, " + ", ".join(f"CAST(least(greatest(floor(round({c}, 6) + 0.5e0), 0), 255) AS INTEGER) AS {c}" for c in "rgba") + " FROM vertical)",
+    ).replace("FROM fit f, (SELECT unnest(range(0, 16)) AS cx), (SELECT unnest(range(0, 16)) AS cy)", "FROM (SELECT * FROM fit, (SELECT unnest(range(0, 16)) AS cx), (SELECT unnest(range(0, 16)) AS cy)) f")
+    .replace("CASE WHEN v.a > 0 THEN v.", "CASE WHEN coalesce(v.a, 0) > 0 THEN v."),
+)
+def normalise_frames(spark, d):
+    """Four images in a row are an animation; the first one's shape is the canvas, and larger ones shrink, each to its own size."""
+    px = v.px(spark, d)
+    images = v.table(spark, d, "embeddings").select(F.col("vec_id").cast("bigint").alias("image_id"))
+    width = v.shape_width(F.col("image_id"))
+    frames = images.select(F.floor(F.col("image_id") / 4).alias("anim_id"), F.col("image_id").alias("seq"), "image_id", width.alias("width"), F.floor(F.lit(64) / width).cast("int").alias("height"))
+    return _full(fr.normalise_frames(px, frames))
+
+
 # --- tone ----------------------------------------------------------------------------------------
 
 def _rgb(template: str) -> str:

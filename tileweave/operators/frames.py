@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geometry import letterbox
 from ..functions.numeric import as_col
+from ..session import cut_lineage
 from .ordering import with_range_blocks
+from .pixels import overlay_on_canvas
+from .resample import resample
 
 # Shortest frame delay, quantiser speed range.
 MIN_DELAY_MS = 10
@@ -56,6 +59,27 @@ def frame_plan(frames: DataFrame, anim_id: str = "anim_id", seq: str = "seq", bl
     )
 
 
+def normalise_frames(
+    px: DataFrame, frames: DataFrame, anim_id: str = "anim_id", seq: str = "seq", image_id: str = "image_id", filter_: str = "lanczos3",
+) -> DataFrame:
+    """Every frame on the canvas of its animation's first frame: shrunk to fit where it is larger in a side, centred, transparent around.
+
+    ``px`` are the pixels of the frames; ``frames`` has a row per frame: ``anim_id, seq, image_id, width, height`` and maybe ``delay_ms``.
+    Only frames that are larger are resampled, each to its own size; pixels of frames without a row are left out.
+    """
+    rows = frames if "delay_ms" in frames.columns else frames.withColumn("delay_ms", F.lit(MIN_DELAY_MS))
+    plan = cut_lineage(frame_plan(rows.select(anim_id, seq, image_id, "width", "height", "delay_ms"), anim_id, seq).select(
+        image_id, F.col("scaled_width").cast("int").alias("_sw"), F.col("scaled_height").cast("int").alias("_sh"),
+        F.col("canvas_width").alias("_cw"), F.col("canvas_height").alias("_ch"), F.col("dx").alias("_dx"), F.col("dy").alias("_dy"),
+    ))
+    columns = [image_id, "x", "y", "r", "g", "b", "a", "width", "height"]
+    sized = px.select(*columns).join(plan.select(image_id, "_sw", "_sh"), image_id)
+    larger = (F.col("width") != F.col("_sw")) | (F.col("height") != F.col("_sh"))
+    shrunk = resample(sized.filter(larger), F.col("_sw"), F.col("_sh"), filter_, image_id)
+    placed = sized.filter(~larger).select(*columns).unionByName(shrunk.select(*columns)).join(plan.drop("_sw", "_sh"), image_id)
+    return overlay_on_canvas(placed, "_cw", "_ch", "_dx", "_dy", image_id)
+
+
 def loop_plan(loop_count, speed) -> Column:
     """Loop mode, encoder repeat count and clamped speed: 0 loops for ever, 1 plays once."""
     n = as_col(loop_count)
