@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tileweave.operators.admission import hash_ok
 from tileweave.plans import operations as ops
-from tileweave.session import shared_dir
-from tileweave.sources import datasource, exif, files as fl, headers, sinks
+from tileweave.session import shared_dir, spread
+from tileweave.sources import datasource, digests, exif, files as fl, headers, sinks
 from tileweave.sources.formats import sniff_format
 
 from . import views as v
@@ -174,3 +175,22 @@ def exif_items(spark, d):
     content = F.unhex(F.concat(F.lit("00000010" "66747970" "68656963" "00000000"), meta, _be(size(body) + 8, 4), F.lit("6D646174"), body))
     files = v.table(spark, d, "customer").select(F.concat(F.lit("c"), k.cast("string")).alias("path"), content.alias("content"))
     return exif.exif_tags(files).select("path", "tag", "value", "display", "seq")
+
+
+@query(
+    "hash_files",
+    """WITH f AS (SELECT s_suppkey AS k, repeat(concat(s_name, '-', s_suppkey, ';'), 1 + s_suppkey % 50 * 40) AS t FROM supplier)
+    SELECT concat('h', k, '.bin') AS name, sha256(t) AS sha256, octet_length(encode(t)) AS n_hashed, k % 4 > 0 AS ok, sha256(unhex(sha256(t))) AS tree_sha256, 1 AS n_parts FROM f""",
+)
+def hash_files(spark, d):
+    """Files digested in chunks by the tasks that read them, against claims of which every fourth is wrong."""
+    k = F.col("s_suppkey")
+    text = F.expr("repeat(concat(s_name, '-', s_suppkey, ';'), cast(1 + s_suppkey % 50 * 40 as int))")
+    rows = v.table(spark, d, "supplier").select(
+        k.cast("bigint").alias("ord"), F.concat(F.lit("h"), k.cast("string"), F.lit(".bin")).alias("name"), text.cast("binary").alias("content"),
+        F.when(k % 4 > 0, F.upper(F.sha2(text, 256))).otherwise("00").alias("claimed"),
+    )
+    listed = fl.scan_files(spark, _write(spark, rows.drop("claimed"))).select("path", "length")
+    hashed = digests.with_sha256(spread(listed)).join(digests.tree_digests(listed), "path")
+    named = fl.with_file_name(hashed).join(rows.select("name", "claimed"), "name")
+    return named.select("name", "sha256", "n_hashed", hash_ok("sha256", "claimed").alias("ok"), "tree_sha256", "n_parts")

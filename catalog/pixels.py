@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tileweave.functions.geometry import letterbox
 from tileweave.operators import frames as fr, pixels as pz, resample as rs, stats, tone
+from tileweave.plans import masking
 
 from . import views as v
 from .registry import query
@@ -292,6 +293,38 @@ def normalise_frames(spark, d):
     return _full(fr.normalise_frames(px, frames))
 
 
+def _conv(name: str, source: str, axis: str, side: str, other: str, keep: str, target: str) -> str:
+    """A pass of a convolution as SQL: ``name`` from ``source`` along x or y, by the weights of the same axis."""
+    at, rest = ("x", "y") if axis == "h" else ("y", "x")
+    sums = ", ".join(f"sum(w * {c}) AS {c}" for c in keep)
+    return f"""{name} AS (SELECT image_id, {rest}, t AS {at}, {other}, {sums} FROM {source} JOIN {name}_weights ON n = {side} AND m = {target} AND s = {at} GROUP BY image_id, {rest}, t, {other})"""
+
+
+def _weights(name: str, side: str, target: str) -> str:
+    return _AXIS.format(axis=name, side=side, target=target, kernel=_KERNEL_SQL["lanczos3"][1]).replace("FROM fit", "FROM sides")
+
+
+_BYTE = "CAST(least(greatest(floor(round({c}, 6) + 0.5e0), 0), 255) AS INTEGER)"
+
+
+@query(
+    "mask_images",
+    with_views(
+        f"SELECT px.image_id, px.x, px.y, px.r, px.g, px.b, {_BYTE.format(c='z.r')} AS a, px.width, px.height FROM px JOIN wide_y z USING (image_id, x, y)",
+        PX,
+        "sides AS (SELECT DISTINCT width, height, 8 AS side FROM px)",
+        _weights("down_x", "width", "side"), _weights("down_y", "height", "side"), _weights("wide_x", "side", "width"), _weights("wide_y", "side", "height"),
+        _conv("down_x", "px", "h", "width", "width, height", "r", "8"), _conv("down_y", "down_x", "v", "height", "width, height", "r", "8"),
+        f"masks AS (SELECT image_id, x, y, width, height, CASE WHEN {_BYTE.format(c='r')} > 120 THEN 255 ELSE 0 END AS r FROM down_y)",
+        _conv("wide_x", "masks", "h", "8", "width, height", "r", "width"), _conv("wide_y", "wide_x", "v", "8", "width, height", "r", "height"),
+    ),
+)
+def mask_images(spark, d):
+    """A model in closed form: a pixel of the 8 by 8 input is foreground where its red sample is above 120."""
+    edge = (120.5 / 255 - tone.CHANNEL_MEAN[0]) / tone.CHANNEL_STD[0]
+    return _full(masking.mask_images(v.px(spark, d), lambda: edge, lambda session, tensor: (tensor[0, 0] > session).astype("float32"), side=8))
+
+
 # --- tone ----------------------------------------------------------------------------------------
 
 def _rgb(template: str) -> str:

@@ -6,6 +6,7 @@ Both run inside tasks over Arrow batches. One batch of binaries has to fit in a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -59,23 +60,37 @@ def map_images(files: DataFrame, fn: Callable[[str, bytes, str], int | None]) ->
     return files.select(*columns).mapInPandas(run, OUTCOME)
 
 
+#: The session of the last job that this Python worker served, by the job's token: workers outlive tasks.
+_held: dict[str, object] = {}
+
+
+def held_session(token: str, open_session: Callable[[], object]) -> object:
+    """The worker's session of a job; another job's is let go first, so a worker holds one model at a time."""
+    if token not in _held:
+        _held.clear()
+        _held[token] = open_session()
+    return _held[token]
+
+
 def score_images(
     df: DataFrame,
     open_session: Callable[[], object],
     score: Callable[[object, pd.DataFrame], pd.DataFrame],
     schema: str,
+    token: str | None = None,
 ) -> DataFrame:
-    """Runs a model over batches of rows, opening it once per task.
+    """Runs a model over batches of rows, opening it once per Python worker.
 
-    ``open_session`` is called in the task before the first batch; ``score(session, batch)`` returns
-    a frame with ``schema``. Errors surface: a batch that cannot be scored fails its task.
+    ``open_session`` is called before the first batch that a worker sees; Spark reuses workers (``spark.python.worker.reuse``), so
+    there are as many sessions as an executor has slots, whatever the number of tasks. Model files that were
+    distributed with ``SparkContext.addFile`` are opened by ``SparkFiles.get`` there. ``score(session, batch)`` returns
+    a frame with ``schema``. Jobs with the same ``token`` share sessions (default: a new one, so each result has its own).
+    Errors surface: a batch that cannot be scored fails its task.
     """
+    job = token or uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session = None
         for batch in batches:
-            if session is None:
-                session = open_session()
-            yield score(session, batch)
+            yield score(held_session(job, open_session), batch)
 
     return df.mapInPandas(run, schema)
