@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tileweave.operators import pixels as pz, stats
-from tileweave.plans import operations as ops
+from tileweave.plans import operations as ops, renditions as rn
 from tileweave.plans.conversion import run_conversion
 from tileweave.session import shared_dir
 from tileweave.sources import exif, files as fl, sinks
@@ -375,6 +375,38 @@ def plan_in_place(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+# What the presets make of a 64 by 64 PNG: name ending, policy and side. Of those that skip, only the last web preset shares a name with an earlier one.
+_EDGES = """edges AS (SELECT * FROM (VALUES ('convert-png', '.png', 'skip', 64), ('convert-jpg', '.jpg', 'skip', 64), ('convert-webp', '.webp', 'skip', 64), ('convert-avif', '.avif', 'skip', 64),
+  ('convert-tiff', '.tiff', 'skip', 64), ('resize-25pct', '_25pct.png', 'skip', 16), ('resize-50pct', '_50pct.png', 'skip', 32), ('resize-200pct', '_200pct.png', 'skip', 128),
+  ('resize-hd-1920', '_fit-1920x1920.png', 'skip', 1920), ('resize-4k-3840', '_fit-3840x3840.png', 'skip', 3840), ('rotate-90', '_rot90.png', 'skip', 64), ('rotate-180', '_rot180.png', 'skip', 64),
+  ('rotate-270', '_rot270.png', 'skip', 64), ('rotate-auto-exif', '_auto.png', 'increment', 64), ('flip-horizontal', '_flipH.png', 'skip', 64), ('flip-vertical', '_flipV.png', 'skip', 64),
+  ('adjust-brightness-plus', '_b10.png', 'skip', 64), ('adjust-brightness-minus', '_b-10.png', 'skip', 64), ('adjust-contrast-plus', '_c20.png', 'skip', 64), ('adjust-bw', '_s-100.png', 'skip', 64),
+  ('adjust-vivid', '_s40.png', 'skip', 64), ('web-whatsapp', '_fit-1280x1280.jpg', 'skip', 1280), ('web-instagram', '_fit-1080x1080.jpg', 'skip', 1080), ('web-facebook', '_fit-2048x2048.jpg', 'skip', 2048),
+  ('web-twitter', '_fit-1200x1200.jpg', 'skip', 1200), ('web-telegram', '_fit-2560x2560.jpg', 'skip', 2560), ('web-discord', '_fit-2048x2048.jpg', 'skip', 2048), ('web-optimize-png', '.png', 'replace', 64)
+  ) AS t(preset_id, ending, policy, side))"""
+
+
+@query(
+    "run_renditions",
+    with_views(
+        """SELECT ord, preset_id, CASE WHEN sound AND policy = 'increment' AND r > 1 THEN concat('/in/', m, '_auto_', r - 1, '.png') ELSE naive END AS output,
+          CASE WHEN NOT sound THEN 'failed' WHEN policy = 'increment' OR policy = 'replace' AND back = 1 OR policy = 'skip' AND NOT held AND r = 1 THEN 'written' ELSE 'skipped' END AS status,
+          CASE WHEN NOT sound THEN 'too_many_pixels' ELSE '-' END AS error, bytes_in,
+          CASE WHEN sound AND (policy = 'increment' OR policy = 'replace' AND back = 1 OR policy = 'skip' AND NOT held AND r = 1) THEN bytes_in * 10000 + side ELSE -1 END AS bytes_out
+        FROM (SELECT *, row_number() OVER (PARTITION BY naive, policy, sound ORDER BY ord, n) AS r, row_number() OVER (PARTITION BY naive, policy, sound ORDER BY ord DESC, n DESC) AS back
+          FROM (SELECT doc_id AS ord, doc_id % 300 AS m, doc_id % 4 <> 1 AS sound, octet_length(encode(text)) + 24 AS bytes_in, preset_id, policy, side, concat('/in/', doc_id % 300, ending) AS naive,
+              CASE preset_id WHEN 'web-discord' THEN 1 ELSE 0 END AS n, ending = '.png' AND doc_id % 3 > 0 OR ending = '_rot90.png' AND doc_id % 300 % 10 = 0 AS held FROM documents, edges))""",
+        _EDGES,
+    ),
+)
+def run_renditions(spark, d):
+    """All presets of all files in one job: each file opened once, names under three policies."""
+    files, _ = _batch(spark, d, "png")
+    existing = v.table(spark, d, "documents").filter("(doc_id % 300) % 10 = 0").selectExpr("concat('/in/', doc_id % 300, '_rot90.png') AS output")
+    out = rn.run_renditions(files, existing, lambda path, content: len(content), lambda size, edge: size * 10000 + edge["out_width"])
+    return out.select("ord", "preset_id", "output", "status", F.coalesce("error", F.lit("-")).alias("error"), "bytes_in", F.coalesce("bytes_out", F.lit(-1)).alias("bytes_out"))
+
+
 @query(
     "run_conversion_replace",
     """WITH named AS (SELECT doc_id, concat('/in/', doc_id % 300, CASE WHEN doc_id % 3 = 0 THEN '.gif' ELSE '.png' END) AS path, doc_id % 4 <> 1 AS sound,
