@@ -9,7 +9,7 @@ hit every way in which so many tokens can be equal, so no pair that this rule ad
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tileweave.session import cut_lineage
 
@@ -52,10 +52,9 @@ def _seeds(rows: DataFrame, masks: tuple[str, ...], every: tuple[str, ...], *kee
 
     def seed(mask):
         parts = [F.get("th", F.col("pos") + k) for k, bit in enumerate(mask) if bit == "1"]
-        return F.when(F.col("pos") + len(mask) <= F.size("th"), F.struct(F.lit(every.index(mask)).alias("mask"), F.xxhash64(*parts).alias("h")))
+        return F.when(F.lit(mask in masks) & (F.col("pos") + len(mask) <= F.size("th")), F.xxhash64(*parts))
 
-    seeds = at.select(*keep, "pos", F.explode(F.array(*[seed(m) for m in masks])).alias("s"))
-    return seeds.where("s is not null").select(*keep, "pos", "s.mask", "s.h")
+    return at.select(*keep, "pos", F.posexplode(F.array(*[seed(m) for m in every])).alias("mask", "h")).where("h is not null")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
@@ -76,7 +75,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: in
     lengths = sorted(r["n"] for r in items.select(F.least("n", F.lit(WINDOW)).alias("n")).distinct().collect())
     masks = tuple(sorted({m for n in lengths for m in masks_for(n)}))
     rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("sign"), _hashed(F.col("text")).alias("th"))
-    found = rows.limit(0).select("doc_id").crossJoin(items.limit(0).select("item_id")).selectExpr("doc_id", "item_id", "0 as n_equal", "0 as n_aligned")
+    kinds = [T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("item_id", items.schema["item_id"].dataType)]
+    found = docs.sparkSession.createDataFrame([], T.StructType([*kinds, T.StructField("n_equal", T.IntegerType()), T.StructField("n_aligned", T.IntegerType())]))
     if not lengths:
         return found
     seeds = None
