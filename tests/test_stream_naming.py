@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tests.test_naming import in_list_order
@@ -57,6 +58,60 @@ def test_names_run_out(spark, tmp_path):
     assert got == {0: "a.png", 1: "a_1.png", 2: "a_2.png", 3: "a_3.png", 4: None, 5: None}
 
 
+class Counted:
+    """A state handle of one key whose states count their calls."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+
+def test_calls_of_the_store_do_not_grow_with_rows():
+    rng = random.Random(5)
+    plan = [(k, f"/d/{rng.choice(STEMS[:5])}.png") for k in range(2000)]
+    allocator, state, got = sn.NameAllocator(9999), Counted(), []
+    allocator.init(state)
+    allocator.handleInitialState(("/d/a.png",), pd.DataFrame({"output": ["/d/a_3.png", "/d/a_1_2.png"]}), None)
+    for batch in (plan[:900], plan[900:]):
+        for out in allocator.handleInputRows(("/d/a.png",), iter([pd.DataFrame(batch, columns=["ord", "naive"])]), None):
+            got += zip(out["ord"], out["output"])
+    assert dict(got) == in_list_order(plan, ["/d/a_3.png", "/d/a_1_2.png"])
+    assert state.calls <= 6
+    assert len(state.value[0]) < 1000
+
+
+def test_rows_are_remembered_for_a_time(spark, tmp_path):
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+
+    def run():
+        sn.append_batches(sn.allocate_names(source(spark, folder), remember_ms=3_600_000), out, state, availableNow=True).awaitTermination()
+        return {(r.ord, r.output) for r in spark.read.parquet(out).collect()}
+
+    feed(spark, folder, [(1, "a.png"), (2, "a.png"), (1, "a.png")])
+    assert run() == {(1, "a.png"), (2, "a_1.png")}
+    feed(spark, folder, [(2, "a.png"), (3, "a.png")])
+    assert run() == {(1, "a.png"), (2, "a_1.png"), (3, "a_2.png")}
+
+
+def test_names_without_an_ending_meet_their_siblings(spark, tmp_path):
+    folder, plan = str(tmp_path / "in"), [(1, "/x.y/a"), (2, "/x.y/a"), (3, "/x.y/a_1"), (4, "/x.y/a_1"), (5, "/x.y/a_1_1")]
+    feed(spark, folder, plan)
+    listing = spark.createDataFrame([("/x.y/a_2",)], "output string")
+    sn.append_batches(sn.allocate_names(source(spark, folder), listing), str(tmp_path / "out"), str(tmp_path / "state"), availableNow=True).awaitTermination()
+    got = {r.ord: r.output for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: "/x.y/a", 2: "/x.y/a_1", 3: "/x.y/a_1_1", 4: "/x.y/a_1_2", 5: "/x.y/a_1_1_1"}
+
+
 def test_late_rows_are_counted(spark, tmp_path):
     schema = "job_id bigint, ord bigint, finished_at timestamp, status string, bytes_in bigint, bytes_out bigint, error string"
     folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))

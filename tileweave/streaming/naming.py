@@ -6,6 +6,7 @@ goes on where the last committed micro-batch ended.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -38,51 +39,92 @@ def rocksdb_state(spark: SparkSession):
 
 def family(path) -> Column:
     """What all numbered siblings of a name share: ``dir/a_3_1.png`` and ``dir/a_3.png`` belong to ``dir/a.png``."""
-    return F.regexp_replace(as_col(path), r"^([\s\S]*?)(?:_[1-9][0-9]{0,3})+(\.[^./]*)$", "$1$2")
+    return F.regexp_replace(as_col(path), r"^([\s\S]*?)(?:_[1-9][0-9]{0,3})+((?:\.[^./]*)?)$", "$1$2")
+
+
+def slot_of(name: str) -> tuple[str, int]:
+    """The name and the slot that a name is a numbered sibling of: ``a_3.png`` is slot 3 of ``a.png``; slot 0 of itself without a number."""
+    stem, dot, ext = split_ext(name)
+    base, _, digits = stem.rpartition("_")
+    if digits.isascii() and digits.isdigit() and digits[0] != "0" and len(base) < len(stem) - len(digits):
+        return f"{base}{dot}{ext}", int(digits)
+    return name, 0
+
+
+def split_ext(name: str) -> tuple[str, str, str]:
+    stem, dot, ext = name.rpartition(".")
+    return (stem, dot, ext) if dot and "/" not in ext else (name, "", "")
+
+
+class Slots:
+    """The slots of each name of a family: all below ``next`` are taken, and those in ``others``, by a listing or by a longer name.
+
+    A name that is given is a slot below its own name's ``next``, or a slot among its shorter name's ``others``, so nothing is kept by row.
+    """
+
+    def __init__(self, packed: str | None):
+        self.next, self.others = {}, {}
+        for name, (after, *taken) in json.loads(packed or "{}").items():
+            self.next[name], self.others[name] = after, set(taken)
+
+    def pack(self) -> str:
+        names = self.next.keys() | self.others.keys()
+        entries = {n: (self.next.get(n, 0), sorted(self.others.get(n, ()))) for n in names}
+        return json.dumps({n: [after, *(k for k in taken if k >= after)] for n, (after, taken) in entries.items()})
+
+    def take(self, name: str) -> bool:
+        """Takes exactly this name, if it is free."""
+        base, slot = slot_of(name)
+        others = self.others.setdefault(base, set())
+        if slot < self.next.get(base, 0) or slot in others:
+            return False
+        others.add(slot)
+        return True
+
+    def give(self, naive: str, last_slot: int) -> str | None:
+        """The first free name among ``naive`` and its numbered siblings."""
+        slot, others, output = self.next.get(naive, 0), self.others.get(naive, ()), None
+        while output is None and slot <= last_slot:
+            if slot == 0:
+                output = naive if self.take(naive) else None
+            elif slot not in others:
+                stem, dot, ext = split_ext(naive)
+                output = f"{stem}_{slot}{dot}{ext}"
+            slot += 1
+        self.next[naive] = slot
+        return output
 
 
 class NameAllocator(StatefulProcessor):
-    """Gives each row the first free name among its own and its numbered siblings; keyed by ``family``."""
+    """Gives each row the first free name among its own and its numbered siblings; keyed by ``family``.
 
-    def __init__(self, last_slot: int, remember_ms: int | None):
-        self.last_slot, self.remember_ms = last_slot, remember_ms
+    A call of the state store from Python costs about half a millisecond, so a family's state is one value: it is read and
+    written once in a micro-batch, however many rows the family has.
+    """
+
+    def __init__(self, last_slot: int):
+        self.last_slot = last_slot
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.taken = handle.getMapState("taken", "output string", "ord bigint")
-        self.next = handle.getMapState("next", "naive string", "slot int")
-        self.given = handle.getMapState("given", "ord bigint", "output string", self.remember_ms)
+        self.slots = handle.getValueState("slots", "packed string")
+
+    def _slots(self) -> Slots:
+        return Slots((self.slots.get() or (None,))[0])
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        slots = self._slots()
         for output in initialState["output"]:
-            self.taken.updateValue((output,), (-1,))
+            slots.take(output)
+        self.slots.update((slots.pack(),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("ord")
-        slots: dict[str, int] = {}
-        out = []
-        for ord_, naive in zip(batch["ord"].tolist(), batch["naive"]):
-            if self.given.containsKey((ord_,)):
-                continue
-            if naive not in slots:
-                found = self.next.getValue((naive,)) if self.next.containsKey((naive,)) else None
-                slots[naive] = found[0] if found else 0
-            stem, dot, ext = naive.rpartition(".")
-            if not dot or "/" in ext:
-                stem, dot, ext = naive, "", ""
-            output = None
-            while output is None and slots[naive] <= self.last_slot:
-                slot = slots[naive]
-                slots[naive] += 1
-                name = naive if slot == 0 else f"{stem}_{slot}{dot}{ext}"
-                if not self.taken.containsKey((name,)):
-                    output = name
-                    self.taken.updateValue((name,), (ord_,))
-            self.given.updateValue((ord_,), (output or "",))
-            out.append((ord_, naive, output))
-        for naive, slot in slots.items():
-            self.next.updateValue((naive,), (slot,))
-        if out:
-            yield pd.DataFrame(out, columns=["ord", "naive", "output"])
+        pieces = list(rows)
+        if not pieces:
+            return
+        batch, slots = pd.concat(pieces).sort_values("ord"), self._slots()
+        given = [slots.give(naive, self.last_slot) for naive in batch["naive"]]
+        self.slots.update((slots.pack(),))
+        yield pd.DataFrame({"ord": batch["ord"].to_numpy(), "naive": batch["naive"].to_numpy(), "output": pd.Series(given, dtype=object)})
 
     def close(self) -> None:
         pass
@@ -92,13 +134,21 @@ def allocate_names(stream: DataFrame, existing: DataFrame | None = None, last_sl
     """``ord, naive, output`` of a stream of ``ord, naive``, as ``naming.resolve_increment_all`` gives them to rows in order of arrival.
 
     Rows of a micro-batch come in order of ``ord``. A repeated ``ord`` gets nothing a second time, as long as it is remembered
-    (``remember_ms`` of processing time; None: always). ``existing`` is a batch table of outputs that are taken from the start;
-    it counts when the query starts anew. Rows without a name are left out; a name whose siblings are all taken gets null.
+    (at least ``remember_ms`` of processing time; None: always): Spark's own deduplication drops it before it reaches Python. ``existing`` is a
+    batch table of outputs that are taken from the start; it counts when the query starts anew. Rows without a name are left out; a
+    name whose siblings are all taken gets null.
     A family of names is one key, so its rows of a micro-batch meet in one task: limit the source's rows per trigger.
     """
-    keyed = stream.filter("ord IS NOT NULL AND naive IS NOT NULL").select(F.col("ord").cast("bigint").alias("ord"), "naive", family("naive").alias("family")).groupBy("family")
-    held = existing.select("output", family("output").alias("family")).distinct().groupBy("family") if existing is not None else None
-    return keyed.transformWithStateInPandas(NameAllocator(last_slot, remember_ms), "ord bigint, naive string, output string", "append", "ProcessingTime" if remember_ms else "None", held)
+    rows = stream.filter("ord IS NOT NULL AND naive IS NOT NULL").select(F.col("ord").cast("bigint").alias("ord"), "naive", family("naive").alias("family"))
+    if remember_ms is None:
+        rows = rows.dropDuplicates(["family", "ord"])
+    else:
+        # A row is remembered from its time plus the delay on until the watermark, late by the delay, gets there.
+        half = f"{(remember_ms + 1) // 2} milliseconds"
+        rows = rows.withColumn("at__", F.current_timestamp()).withWatermark("at__", half).dropDuplicatesWithinWatermark(["family", "ord"])
+    keyed = rows.select("ord", "naive", "family").groupBy("family")
+    held = existing.filter("output IS NOT NULL").select("output", family("output").alias("family")).distinct().groupBy("family") if existing is not None else None
+    return keyed.transformWithStateInPandas(NameAllocator(last_slot), "ord bigint, naive string, output string", "append", "None", held)
 
 
 class OutcomeFilter(StatefulProcessor):
