@@ -46,3 +46,20 @@ def test_policies_meet_in_order(spark):
     assert [got[i, "web-optimize-png"][1:] for i in range(3)] == [("skipped", "superseded"), ("skipped", "superseded"), (None, None)]
     assert [got[i, "convert-jpg"][1] for i in range(3)] == [None, "skipped", "skipped"]
     assert rn.name_renditions(files.limit(0), listing).count() == 0
+
+
+def test_a_worker_holds_few_rows_at_a_time(spark, tmp_path):
+    png_ = bytearray(png(4, 2, lambda x, y: (1, 2, 3)))
+    files = spark.range(1500).selectExpr("id AS ord", "concat('/in/', id, '.png') AS path").withColumns({"content": F.lit(png_), "length": F.lit(len(png_)).cast("bigint")})
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
+
+    def held(image, edge):
+        import sys
+
+        # The batch of the caller's caller: rows that this worker holds as Python objects.
+        return len(sys._getframe(1).f_locals["batch"])
+
+    rows = rn.run_renditions(files, spark.createDataFrame([], OUT), lambda path, content: content, held, only=["rotate-180", "web-discord"], tasks=2).cache()
+    assert rows.filter("status = 'written'").count() == 3000
+    assert rows.agg(F.max("bytes_out")).first()[0] <= 256
+    assert before == {k: spark.conf.get(k, None) for k in before}

@@ -13,7 +13,7 @@ from ..functions.paths import join_path, parent, stem
 from ..functions.validation import admit
 from ..operators.images import read_file
 from ..operators.naming import resolve_increment_all, resolve_replace, resolve_skip
-from ..session import cut_lineage, spread
+from ..session import cut_lineage, small_batches, spread
 from ..sources.formats import extension_of, sniff_format
 from ..sources.headers import with_dims, with_headers
 from ..sources.presets import PRESETS, preset_array
@@ -107,9 +107,10 @@ def run_renditions(
     ``open_image(path, content)`` decodes, ``render(image, edge)`` writes one rendition and returns its bytes; ``edge`` has
     ``preset_id, output, target, out_width, out_height`` and the encoder's settings. An exception of ``render`` fails that rendition, one of
     ``open_image`` all of the file's. The plan is fixed before anything is written, outcomes are written once. A file has at most as many
-    edges as there are presets, so its edges travel in one row.
+    edges as there are presets, so its edges travel in one row; a worker holds few rows at a time, since their edges become Python objects.
     """
-    plan = cut_lineage(name_renditions(files, existing, output_dir, only))
+    with small_batches(files.sparkSession):
+        plan = cut_lineage(name_renditions(files, existing, output_dir, only))
     inline = "content" in files.columns
     edge = F.struct("preset_ord", "preset_id", "output", "target", "out_width", "out_height", F.to_json("encoder").alias("encoder"))
     todo = plan.filter("status IS NULL").groupBy("ord", "path").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
@@ -138,6 +139,7 @@ def run_renditions(
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in RENDITION_OUTCOME.split(", ")])
             yield out.astype({"bytes_in": "Int64", "bytes_out": "Int64"})
 
-    done = cut_lineage(spread(todo, tasks).mapInPandas(run, RENDITION_OUTCOME))
+    with small_batches(files.sparkSession):
+        done = cut_lineage(spread(todo, tasks).mapInPandas(run, RENDITION_OUTCOME))
     settled = plan.filter("status IS NOT NULL").select("ord", "preset_id", "output", "status", "error_kind", "error", F.col("length").alias("bytes_in"), F.lit(None).cast("bigint").alias("bytes_out"))
     return done.unionByName(settled)

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -67,6 +68,25 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 256, size: int = 32 << 20):
+    """Bounds what a Python worker is handed at once, by rows and by bytes, in jobs that run inside; a smaller setting stays.
+
+    For functions that make much of a row (a decoded file, a nested list as Python objects): with the usual 10,000 rows a
+    batch, a worker's memory would grow with its partition up to there.
+    """
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {key: spark.conf.get(key, None) for key in limits}
+    for key, limit in limits.items():
+        now = before[key] if before[key] and before[key].isdigit() and int(before[key]) > 0 else limit
+        spark.conf.set(key, str(min(limit, int(now))))
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+
+
 def cut_lineage(df):
     """Reliable checkpoint: the result is written to the shared folder and survives lost executors."""
     shared_dir(df.sparkSession)
