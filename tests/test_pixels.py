@@ -232,3 +232,15 @@ def test_masking_a_collection(px):
         got = np.array(out[i])
         assert np.array_equal(got[:, :, :3], a[:, :, :3])
         assert np.array_equal(got[:, :, 3], alpha)
+
+
+def test_tasks_follow_the_number_of_pixels(spark, monkeypatch):
+    from tileweave.operators import pixels
+
+    monkeypatch.setattr(pixels, "PIXELS_PER_TASK", 400)
+    # Adaptive execution merges partitions of few bytes; those of the last aggregation are not to be merged.
+    sheet = spark.range(40).select(F.col("id").alias("image_id"), F.lit(0).alias("x"), F.lit(0).alias("y"), *[F.lit(200).alias(c) for c in "rgba"], F.lit(1).alias("width"), F.lit(1).alias("height"))
+    out = pixels.overlay_on_canvas(sheet, 16, 16, 3, 5)
+    per_task = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == 40 * 256 and max(per_task) < 2000
+    assert out.filter("a > 0").select("x", "y").distinct().collect() == [(3, 5)]

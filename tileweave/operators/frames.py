@@ -8,7 +8,7 @@ from ..functions.geometry import letterbox
 from ..functions.numeric import as_col
 from ..session import cut_lineage
 from .ordering import with_range_blocks
-from .pixels import overlay_on_canvas
+from .pixels import overlay_on_canvas, tasks_for
 from .resample import resample
 
 # Shortest frame delay, quantiser speed range.
@@ -69,15 +69,19 @@ def normalise_frames(
     """
     rows = frames if "delay_ms" in frames.columns else frames.withColumn("delay_ms", F.lit(MIN_DELAY_MS))
     plan = cut_lineage(frame_plan(rows.select(anim_id, seq, image_id, "width", "height", "delay_ms"), anim_id, seq).select(
-        image_id, F.col("scaled_width").cast("int").alias("_sw"), F.col("scaled_height").cast("int").alias("_sh"),
+        image_id, (F.col("width").cast("bigint") * F.col("height")).alias("_pixels"), F.col("scaled_width").cast("int").alias("_sw"), F.col("scaled_height").cast("int").alias("_sh"),
         F.col("canvas_width").alias("_cw"), F.col("canvas_height").alias("_ch"), F.col("dx").alias("_dx"), F.col("dy").alias("_dy"),
     ))
+    sizes = plan.agg(F.sum("_pixels"), F.sum(F.col("_cw").cast("bigint") * F.col("_ch"))).first()
+    tasks = tasks_for(px.sparkSession, max(sizes[0] or 0, sizes[1] or 0))
+    plan = plan.drop("_pixels")
     columns = [image_id, "x", "y", "r", "g", "b", "a", "width", "height"]
     sized = px.select(*columns).join(plan.select(image_id, "_sw", "_sh"), image_id)
     larger = (F.col("width") != F.col("_sw")) | (F.col("height") != F.col("_sh"))
-    shrunk = resample(sized.filter(larger), F.col("_sw"), F.col("_sh"), filter_, image_id)
+    shrunk = resample(sized.filter(larger), F.col("_sw"), F.col("_sh"), filter_, image_id, tasks=tasks)
     placed = sized.filter(~larger).select(*columns).unionByName(shrunk.select(*columns)).join(plan.drop("_sw", "_sh"), image_id)
-    return overlay_on_canvas(placed, "_cw", "_ch", "_dx", "_dy", image_id)
+    images = plan.groupBy(image_id).agg(*[F.max(F.col(c).cast("bigint")).alias(c) for c in ("_cw", "_ch")]).join(px.select(image_id).distinct(), image_id, "left_semi")
+    return overlay_on_canvas(placed, "_cw", "_ch", "_dx", "_dy", image_id, images, tasks)
 
 
 def loop_plan(loop_count, speed) -> Column:

@@ -84,7 +84,7 @@ def _pass(px: DataFrame, keys: list[str], axis: str, source: str, target: str, n
 
 def resample(
     px: DataFrame, width, height, filter_: str = "lanczos3", image_id: str = "image_id",
-    premultiply: bool = False, rows_first: bool = False,
+    premultiply: bool = False, rows_first: bool = False, tasks: int | None = None,
 ) -> DataFrame:
     """Separable convolution to ``width`` × ``height`` (numbers, or columns constant per image).
 
@@ -95,7 +95,8 @@ def resample(
 
     Two shuffles, each of one row per intermediate pixel: the first pass combines on the map side,
     and its result is partitioned so that the second pass aggregates in place, with a single huge
-    image still spread over all its columns (or rows).
+    image still spread over all its columns (or rows). With a number of ``tasks``, lines are dealt over so many
+    before the first pass, so that what a task holds depends on that number alone.
     """
     if filter_ == "nearest":
         return resample_nearest(px, width, height, image_id)
@@ -113,8 +114,9 @@ def resample(
     if rows_first:
         passes.reverse()
     (axis1, from1, to1), (axis2, from2, to2) = passes
-    first = _pass(work, keys, axis1, from1, to1, filter_)
-    second = _pass(first.repartition(image_id, axis1), keys, axis2, from2, to2, filter_)
+    dealt = [tasks] if tasks else []
+    first = _pass(work.repartition(tasks, image_id, axis2) if tasks else work, keys, axis1, from1, to1, filter_)
+    second = _pass(first.repartition(*dealt, image_id, axis1), keys, axis2, from2, to2, filter_)
     if premultiply:
         unweighted = F.when(F.round("a", 6) > 0, F.lit(255.0) / F.col("a")).otherwise(0.0)
         second = second.withColumns({c: F.col(c) * F.when(same, 1.0).otherwise(unweighted) for c in ("r", "g", "b")})
