@@ -69,3 +69,18 @@ def test_concentration_step_matches_numpy(spark):
     level = np.sort(np.floor(np.log(d) / quality.BIN))[int(np.ceil(len(d) * quality.COVERAGE)) - 1]
     near = x[np.floor(np.log(d) / quality.BIN) <= level]
     assert np.allclose(got["loc"], near.mean(0)) and np.allclose(np.linalg.inv(np.array(got["inv"]).reshape(2, 2)), np.cov(near.T, bias=True) + quality.FLOOR**2 * np.eye(2))
+
+
+def test_distances_have_a_term_for_each_pair(spark):
+    rng = np.random.default_rng(6)
+    xs, x = ["x0", "x1", "x2"], rng.normal(size=(300, 3)) @ np.array([[1, 0.5, 0], [0, 1, 0.3], [0, 0, 1]])
+    fit = spark.createDataFrame([("g", *map(float, r)) for r in x], "grp string, x0 double, x1 double, x2 double")
+    model = quality._start(fit, xs)
+    for step in (model, quality._concentrate(fit, model, xs)):
+        (m,) = quality._folded(step, 3).collect()
+        # The driver compiles a step's terms; with one for each place of the matrix its memory came near the limit.
+        assert len(m.inv) == 6
+        a, b, c, d, e, f = m.inv
+        inv = np.array([[a, b / 2, c / 2], [b / 2, d, e / 2], [c / 2, e / 2, f]])
+        got = {r.x0: r.d2 for r in quality._with_distance(fit, step, xs).collect()}
+        assert all(abs(got[r[0]] - (r - m.loc) @ inv @ (r - m.loc)) < 1e-9 * (1 + got[r[0]]) for r in x)
